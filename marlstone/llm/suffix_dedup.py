@@ -9,7 +9,7 @@ the run of windows that share it; the bytes of that run are its context.
 3. For the rest one representative of each distinct context fetches its bytes. These suffixes are range-partitioned by
    sampled splitters on their leading bytes; each bucket sorts its suffixes by multikey quicksort, drops those whose longest
    common prefix with both neighbours is too short, and compares the windows of the others.
-4. A gram that a splitter cuts lies in several buckets: the windows it has at bucket boundaries meet by digest.
+4. A gram with more than GROUP distinct contexts lies in several buckets: its windows meet across their boundaries by digest.
 5. Spans go back to their rows, where they are united and cut out.
 """
 
@@ -29,6 +29,8 @@ LENGTH = 200
 GRAM = 32
 #: Bytes handled at once within a task; a longer text is handled alone.
 STEP = 1 << 21
+#: Distinct contexts of one gram that meet in one task; a larger group is dealt over several buckets.
+GROUP = 20_000
 _POS = np.uint64((1 << 28) - 1)
 
 
@@ -210,20 +212,14 @@ def _buckets(length: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        size, first_lead = 0, None
-        ready: pd.DataFrame | None = None
+        size = 0
 
-        def solve(pdf: pd.DataFrame, final: bool) -> Iterator[pd.DataFrame]:
-            edge = (pdf["lead"] == first_lead).to_numpy()
-            if final:
-                edge |= (pdf["lead"] == pdf["lead"].iloc[-1]).to_numpy()
-            yield from _solve(pdf, length, edge)
+        def solve(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            yield from _solve(pdf, length, (pdf["slots"] > 1).to_numpy())
 
         for b in batches:
             if not len(b):
                 continue
-            if first_lead is None:
-                first_lead = b["lead"].iloc[0]
             held.append(b)
             size += len(b)
             if size < 8192:
@@ -231,10 +227,10 @@ def _buckets(length: int):
             pdf = pd.concat(held, ignore_index=True)
             tail = (pdf["lead"] == pdf["lead"].iloc[-1]).to_numpy()
             if not tail.all():
-                yield from solve(pdf[~tail].reset_index(drop=True), False)
+                yield from solve(pdf[~tail].reset_index(drop=True))
                 held, size = [pdf[tail].reset_index(drop=True)], int(tail.sum())
         if held:
-            yield from solve(pd.concat(held, ignore_index=True), True)
+            yield from solve(pd.concat(held, ignore_index=True))
 
     return run
 
@@ -244,13 +240,16 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     spark = docs.sparkSession
     a = docs.mapInPandas(_anchor_rows(length, gram), "kh long, ch long, rid long, place long")
     grams = a.groupBy("kh").agg(F.count(F.lit(1)).alias("n"), F.min("ch").alias("c0"), F.max("ch").alias("c1")).where("n > 1")
+    grams = materialise(grams)  # so that both sides of the join are dealt anew and a hot gram can be split
     again = materialise(a.join(grams.select("kh", (F.col("c0") == F.col("c1")).alias("settled")), "kh"))
     span = F.struct(F.shiftright("place", 24).alias("s"), (F.shiftright("place", 24) + F.shiftright("place", 12).bitwiseAND(F.lit(0xFFF)) + length).alias("e"))
     settled = again.where("settled").select("rid", span.alias("x"))
     open_ = again.where("not settled")
     kinds = materialise(open_.groupBy("kh", "ch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "place")).alias("rep")))
     full = open_.join(kinds.where("n > 1").select("kh", "ch"), ["kh", "ch"]).select("rid", span.alias("x"))
-    asked = kinds.select(F.col("rep.rid").alias("rid"), F.struct("kh", "ch", "n", F.col("rep.place").alias("place")).alias("q")).groupBy("rid").agg(F.collect_list("q").alias("asks"))
+    large = kinds.groupBy("kh").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).cast("int").alias("slots"))
+    sized = kinds.join(large, "kh")
+    asked = sized.select(F.col("rep.rid").alias("rid"), F.struct("ch", "n", "slots", F.col("rep.place").alias("place")).alias("q")).groupBy("rid").agg(F.collect_list("q").alias("asks"))
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -262,12 +261,12 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                     lo = p >> 24
                     ctx = raw[lo : lo + ((p >> 12) & 0xFFF) + length]
                     o = p & 0xFFF
-                    out.append((ctx[o : o + 16], q["ch"], q["n"], rid, p, ctx))
-            yield pd.DataFrame(out, columns=["lead", "ch", "n", "rid", "place", "ctx"])
+                    out.append((ctx[o : o + gram], q["ch"] % q["slots"], q["slots"], q["n"], rid, p, ctx))
+            yield pd.DataFrame(out, columns=["lead", "slot", "slots", "n", "rid", "place", "ctx"])
 
-    parts = docs.join(asked, "rid").select("rid", "text", "asks").mapInPandas(fetch, "lead binary, ch long, n long, rid long, place long, ctx binary")
+    parts = docs.join(asked, "rid").select("rid", "text", "asks").mapInPandas(fetch, "lead binary, slot int, slots int, n long, rid long, place long, ctx binary")
     suffixes = materialise(parts)
-    ranged = suffixes.repartitionByRange(partitions(spark), "lead", "ch").sortWithinPartitions("lead")
+    ranged = suffixes.repartitionByRange(partitions(spark), "lead", "slot").sortWithinPartitions("lead")
     found = materialise(ranged.mapInPandas(_buckets(length), "rid long, s long, e long, digest binary, known boolean"))
     at_edges = found.where("digest is not null")
     shared = at_edges.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("digest")

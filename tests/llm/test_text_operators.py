@@ -59,6 +59,7 @@ def test_suffix_dedup_across_buckets(spark, monkeypatch):
     passage = prose(rng, 50)
     texts = [prose(rng, rng.randint(0, 9)) + passage[rng.randint(0, 40) : len(passage) - rng.randint(0, 40)] + prose(rng, 8) for _ in range(150)]
     monkeypatch.setattr(suffix_dedup, "partitions", lambda s: 40)
+    monkeypatch.setattr(suffix_dedup, "GROUP", 10)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.suffix_dedup(df).collect()}
     assert [got[i] for i in range(len(texts))] == [sum(m) for m in brute_removed(texts)]
