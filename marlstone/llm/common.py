@@ -102,7 +102,7 @@ def joined(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join([*raw, b""]), np.uint8), at
 
 
-def chunks(pdf: pd.DataFrame, text: str, most: int = 1_000_000):
+def chunks(pdf: pd.DataFrame, text: str, most: int = 300_000):
     """Slices of a batch whose texts have about ``most`` characters together (one long text stays whole)."""
     if len(pdf) == 0:
         return

@@ -28,7 +28,7 @@ from marlstone.llm.common import BASE, Rolling, bounds, materialise, partitions
 LENGTH = 200
 GRAM = 32
 #: Bytes handled at once within a task; a longer text is handled alone.
-STEP = 1 << 20
+STEP = 1 << 19
 #: Distinct contexts of one gram that meet in one task; a larger group is dealt over several buckets.
 GROUP = 20_000
 _POS = np.uint64((1 << 28) - 1)
