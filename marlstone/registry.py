@@ -24,3 +24,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return _SQL
+
+
+from marlstone.plans import domain_queries, market_queries  # noqa: E402, F401  they register their queries
