@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.llm.common import materialise
+
 #: Target weights of domains and of languages within each domain; what is not listed weighs DEFAULT_WEIGHT.
 DOMAIN_WEIGHTS = {"d0": 4.0, "d1": 2.0, "d2": 1.0, "d3": 1.0}
 LANG_WEIGHTS = {"en": 5.0, "de": 2.0, "fr": 2.0, "es": 1.0}
@@ -91,7 +93,8 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     small = rows.select("_m.*")
     leaves = small.groupBy("domain", "lang", "source").agg(F.sum("n_tokens").alias("tokens"))
     leaf = budgets(leaves, F.floor(F.sum("tokens") * budget_share), domain_weights, lang_weights, max_epochs)
-    leaf = leaf.select("domain", "lang", "source", F.floor(F.col("target") / F.col("tokens")).cast("int").alias("epochs"), (F.col("target") % F.col("tokens")).alias("rest"))
+    # one row a leaf, written so that its size is known: Spark broadcasts it only below its threshold, else it deals both sides
+    leaf = materialise(leaf.select("domain", "lang", "source", F.floor(F.col("target") / F.col("tokens")).cast("int").alias("epochs"), (F.col("target") % F.col("tokens")).alias("rest")))
     key = lambda m: F.sha2(F.concat_ws(":", F.lit(seed), m["epochs"].cast("string"), F.coalesce(m["id"], F.lit(""))), 256)
     same = lambda a, b: a["domain"].eqNullSafe(b["_domain"]) & a["lang"].eqNullSafe(b["_lang"]) & a["source"].eqNullSafe(b["_source"])
     named = leaf.select(F.col("domain").alias("_domain"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), "epochs", "rest")
@@ -103,6 +106,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     sums = sums.withColumn("before", F.coalesce(F.sum("t").over(upto), F.lit(0)))
     cut = sums.where("before <= rest and before + t > rest").select(F.col("domain").alias("_domain"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("bucket").alias("cut"), "before")
     plan = named.join(cut.select(*[F.col(c).alias(f"x{c}") for c in ("_domain", "_lang", "_source")], "cut", "before"), F.col("_domain").eqNullSafe(F.col("x_domain")) & F.col("_lang").eqNullSafe(F.col("x_lang")) & F.col("_source").eqNullSafe(F.col("x_source")), "left").drop("x_domain", "x_lang", "x_source")
+    plan = materialise(plan)
     r = rows.withColumns({"_d": F.col("_m.domain"), "_l": F.col("_m.lang"), "_s": F.col("_m.source")})
     r = r.join(plan, F.col("_d").eqNullSafe(F.col("_domain")) & F.col("_l").eqNullSafe(F.col("_lang")) & F.col("_s").eqNullSafe(F.col("_source"))).drop("_d", "_l", "_s")
     h = key({"epochs": F.col("epochs"), "id": F.col("_m.id")})
