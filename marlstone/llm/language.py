@@ -121,7 +121,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", row
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(_LETTER)).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     h = F.xxhash64("t", F.lit(5))
     start = F.pmod(h, F.greatest(F.length("t") - FIT_BYTES, F.lit(1))).cast("int") + 1
-    picked = usable.select(h.alias("h"), "l", F.substring("t", start, F.lit(FIT_BYTES)).alias("t")).orderBy("h", "l").limit(rows).collect()
+    # a hash filter sized by the count leaves about twice the rows wanted, however large the table is
+    step = max(1, usable.count() // (2 * rows))
+    picked = usable.where(F.pmod(h, F.lit(step)) == 0).select(h.alias("h"), "l", F.substring("t", start, F.lit(FIT_BYTES)).alias("t")).orderBy("h", "l").limit(rows).collect()
     return train([r["t"] for r in picked], [r["l"] for r in picked])
 
 

@@ -92,7 +92,10 @@ def fit_url_model(labelled: DataFrame, url_col: str = "url", label_col: str = "b
     both = both.unionByName(seeds)
     host = host_of(F.col(url_col))
     stats = both.groupBy(F.substring_index(host, ".", -1).alias("suffix")).agg(F.avg(label_col).alias("rate"), F.count(F.lit(1)).cast("double").alias("count"))
-    pick = both.orderBy(F.xxhash64(F.col(url_col), F.lit(7)), label_col).limit(rows).repartition(4)
+    h = F.xxhash64(F.col(url_col), F.lit(7))
+    # a hash filter sized by the count leaves about twice the rows wanted, however large the table is
+    step = max(1, both.count() // (2 * rows))
+    pick = both.where(F.pmod(h, F.lit(step)) == 0).orderBy(h, label_col).limit(rows).repartition(4)
     model = UrlModel(None, stats, 0.5)
     train = _featured(pick, model, url_col).withColumn("label", F.col(label_col).cast("double"))
     model.trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=4, stepSize=0.2, seed=7, maxBins=32).fit(train.select("features", "label"))
