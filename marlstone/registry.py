@@ -26,4 +26,4 @@ def oracle_sql() -> dict[str, str]:
     return _SQL
 
 
-from marlstone.plans import domain_queries, estimate_queries, market_queries  # noqa: E402, F401  they register their queries
+from marlstone.plans import domain_queries, economics_queries, estimate_queries, market_queries  # noqa: E402, F401  they register their queries
