@@ -15,23 +15,27 @@ def year_range_mean(df: DataFrame, keys: list[str], year: str, c: str, reach: in
     return g.select(*keys, year, (F.sum("_s").over(w) / F.sum("_n").over(w)).alias("range_mean"), F.sum("_n").over(w).alias("range_n"))
 
 
-def watchlist_matches(df: DataFrame, watchlist: DataFrame, equal: dict[str, str], at_least: dict[str, str], at_most: dict[str, str], max_watch: int = 100_000) -> DataFrame:
+def watchlist_matches(df: DataFrame, watchlist: DataFrame, equal: dict[str, str], at_least: dict[str, str], at_most: dict[str, str], max_watch: int | None = None) -> DataFrame:
     """Every (listing, criterion) pair in which each criterion column is null or satisfied.
 
-    The criteria are a bounded table (checked against ``max_watch``), so they are broadcast; a larger table is refused.
+    Criteria of any number: those that name the first ``equal`` column meet its listings by an equi-join, the others meet all
+    listings, in blocks of both tables where they are too many to broadcast. A ``max_watch`` that is given refuses a larger table.
     """
-    if watchlist.limit(max_watch + 1).count() > max_watch:
-        raise ValueError("the watchlist exceeds its bound; match it in blocks")
-    w = F.broadcast(watchlist.select(*[F.col(c).alias(f"w_{c}") for c in watchlist.columns]))
+    if max_watch is not None and watchlist.limit(max_watch + 1).count() > max_watch:
+        raise ValueError("the watchlist exceeds its bound")
+    w = watchlist.select(*[F.col(c).alias(f"w_{c}") for c in watchlist.columns])
     free = lambda c: F.col(f"w_{c}").isNull()
     cond = F.lit(True)
-    for c, v in equal.items():
+    for c, v in list(equal.items())[1:]:
         cond = cond & (free(c) | (F.col(v) == F.col(f"w_{c}")))
     for c, v in at_least.items():
         cond = cond & (free(c) | (F.col(v) >= F.col(f"w_{c}")))
     for c, v in at_most.items():
         cond = cond & (free(c) | (F.col(v) <= F.col(f"w_{c}")))
-    return df.join(w, cond)
+    if not equal:
+        return df.join(w, cond)
+    c, v = next(iter(equal.items()))
+    return df.join(w.where(~free(c)), (F.col(v) == F.col(f"w_{c}")) & cond).unionByName(df.join(w.where(free(c)), cond))
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
