@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 256
@@ -117,13 +117,27 @@ def train(texts: list[str], langs: list[str], seed: int = 3) -> ByteNet:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS) -> ByteNet:
-    """Fit on at most ``rows`` labelled texts, picked by a hash of the text; each gives FIT_BYTES characters from a seeded place."""
+    """Fit on about ``rows`` distinct labelled texts; each gives FIT_BYTES characters from a seeded place.
+
+    Copies of a text count once for each language, and every language gives its first texts by a hash of the text, up to an
+    equal share of ``rows`` (one at least) and of what smaller languages leave.
+    """
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(_LETTER)).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    h = F.xxhash64("t", F.lit(5))
-    start = F.pmod(h, F.greatest(F.length("t") - FIT_BYTES, F.lit(1))).cast("int") + 1
-    # a hash filter sized by the count leaves about twice the rows wanted, however large the table is
-    step = max(1, usable.count() // (2 * rows))
-    picked = usable.where(F.pmod(h, F.lit(step)) == 0).select(h.alias("h"), "l", F.substring("t", start, F.lit(FIT_BYTES)).alias("t")).orderBy("h", "l").limit(rows).collect()
+    start = F.pmod(F.col("h"), F.greatest(F.length("t") - FIT_BYTES, F.lit(1))).cast("int") + 1
+    keyed = usable.select(F.xxhash64("t", F.lit(5)).alias("h"), "l", "t")
+    sizes = {r["l"]: r["n"] for r in keyed.select("h", "l").distinct().groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return train([], [])
+    left, most = rows, {}
+    for i, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):  # small languages leave their rest to larger ones
+        most[lang] = min(n, max(1, left // (len(sizes) - i)))
+        left -= most[lang]
+    # a hash filter of each language leaves about twice the texts wanted, at least 40: then none is lost but by the ranks below
+    steps = labelled.sparkSession.createDataFrame([(k, max(1, n // (2 * max(most[k], 20))), most[k]) for k, n in sizes.items()], "l string, step long, most long")
+    few = keyed.join(F.broadcast(steps), "l").where(F.pmod(F.xxhash64("h"), F.col("step")) == 0)
+    few = few.select("h", "l", "most", F.substring("t", start, F.lit(FIT_BYTES)).alias("t")).dropDuplicates(["h", "l"])
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    picked = few.withColumn("rank", rank).where("rank <= most").select("h", "l", "t").orderBy("h", "l").collect()
     return train([r["t"] for r in picked], [r["l"] for r in picked])
 
 
