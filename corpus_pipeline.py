@@ -1,4 +1,4 @@
-"""Corpus pipeline: quality rules, SimHash near-dedup, benchmark decontamination, secret redaction, source mixing.
+"""Corpus pipeline: quality rules, near-copy removal by shingle similarity, benchmark decontamination, secret redaction, source mixing.
 
 Each stage takes (spark, docs, sf_dir) and works on everything its predecessor kept; :func:`run` applies them to
 ``documents``, each stage written to the shared folder and read again.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontaminate, mixing, quality, secrets, simhash
+from marlstone.llm import decontaminate, mixing, nearcopies, quality, secrets
 from marlstone.llm.common import materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,10 +27,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id."""
-    groups = simhash.simhash_groups(docs)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays: the one with the smallest id.
+
+    Rows have keys of their own here, so null and repeated ids lose nothing; a null id goes last within its group.
+    """
+    rows = materialise(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+    groups = nearcopies.near_groups(rows)
+    first = rows.select("row", "doc_id").join(groups, "row").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("m"))
+    return rows.join(first.select("m.row"), "row", "left_semi").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
