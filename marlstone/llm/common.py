@@ -15,11 +15,25 @@ BASE = 0x9E3779B97F4A7C15
 _BYTE_VALUES = np.random.default_rng(11).integers(1, 2**63, 256).astype(np.uint64)
 
 
+#: Rows and bytes of a batch that goes to Python, and bytes of a Parquet row group while it is written: whole texts are large rows.
+BATCH_ROWS, BATCH_BYTES, ROW_GROUP_BYTES = 2_000, 4 << 20, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that later plans of this session send to Python, unless they are bounded closer already."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        have = spark.conf.get(key, None)
+        if have is None or not have.isdigit() or not 0 < int(have) <= most:
+            spark.conf.set(key, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` if the session has it, else a folder made here."""
+    """The folder all executors share: ``spark.checkpoint.dir`` if the session has it; on one machine else a folder made here."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='marlstone-')}"
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir()
@@ -31,7 +45,14 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/marlstone/{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    # the shuffle files behind the table are of no use once it is written
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    finally:
+        spark.conf.set(key, before)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
@@ -94,6 +115,33 @@ class Rolling:
         return mix((self.sums[end] - self.sums[start]) * back[start])
 
 
+def exact_ids(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Class number of each slice of a byte array: equal slices, and only they, share it. Hashes form classes, bytes decide."""
+    n, size = len(start), end - start
+    if n == 0:
+        return np.zeros(0, np.int64)
+    h = Rolling.of_bytes(buf).slices(start, end)
+    order = np.lexsort((size, h))
+    new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (size[order][1:] != size[order][:-1])])
+    first = order[np.maximum.accumulate(np.where(new, np.arange(n), 0))]  # the slice that stands for each class
+    out = np.empty(n, np.int64)
+    out[order] = np.cumsum(new) - 1
+    other = np.flatnonzero(~new)
+    for s, e in _portions(size[order[other]], 1 << 18):
+        mine, its = order[other[s:e]], first[other[s:e]]
+        step = np.arange(size[mine].sum()) - np.repeat(np.cumsum(size[mine]) - size[mine], size[mine])
+        if not np.array_equal(buf[np.repeat(start[mine], size[mine]) + step], buf[np.repeat(start[its], size[mine]) + step]):
+            raw, names = buf.tobytes(), {}  # two different slices with one hash
+            return np.array([names.setdefault(raw[x:y], len(names)) for x, y in zip(start.tolist(), end.tolist())], np.int64)
+    return out
+
+
+def _portions(size: np.ndarray, most: int):
+    """Bounds of neighbouring items with about ``most`` bytes together."""
+    part = (np.cumsum(size) - size) // most
+    return zip(*bounds(part))
+
+
 def joined(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     """All texts as one UTF-8 byte array with a newline after each, and the start of each (one more at the end)."""
     raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]

@@ -17,6 +17,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     e = materialise(e)
+    # done once the edge set stands still: compare counts and order-free digests
+    stat = lambda d: d.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+    was = stat(e)
+    if not was["n"]:
+        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(max_rounds):
         # large-star: every node links its larger neighbours to the smallest node it sees
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,12 +32,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         low2 = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v")))
         new = materialise(small.where("u <> v").distinct())
-        # done once the edge set stands still: compare counts and order-free digests
-        stat = lambda d: d.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        same = stat(new) == stat(e)
-        e = new
-        if same:
+        e, now = new, stat(new)
+        if now == was:
             break
+        was = now
     else:
         raise RuntimeError("components did not settle")
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))

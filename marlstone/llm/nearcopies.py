@@ -1,4 +1,9 @@
-"""Near copies: rows linked by an exact Jaccard similarity of five-word shingles, found by a prefix filter that loses no pair."""
+"""Near copies by SimHash, completed to an exact Jaccard similarity of 0.8: fingerprint links first, then a prefix filter that loses no pair.
+
+At a similarity of 0.8 fingerprints of 64 bits differ by ten bits and more, where neither bit ranges nor pivot tables prune.
+So fingerprints of five-word shingles give the first groups (every link verified), and the pairs still apart are found by
+shingles: any near pair shares one among the first fifth of both sets, in whatever one order of all shingles.
+"""
 
 from __future__ import annotations
 
@@ -10,13 +15,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialise, words_of
+from marlstone.llm.common import materialise, small_batches, words_of
 from marlstone.llm.components import connected_components
+from marlstone.llm.simhash import majority, near_links
 
-#: Words of a shingle; two sets are near if 5 * common >= 4 * all (similarity 0.8).
+#: Words of a shingle; two sets are near if 5 * common >= 4 * all (similarity 0.8). Shingles are told apart by 64-bit hashes.
 WIDTH = 5
-#: A shingle in the prefixes of more sets than about HOT goes last in the order of all shingles, so that rarer ones stand for
-#: them. Any one order loses no pair, so this is judged on one row in SAMPLE only.
+#: A shingle in the prefixes of more sets than about HOT goes last in the first order of all shingles, so that rarer ones
+#: stand for them. Any one order loses no pair, so this is judged on one row in SAMPLE only.
 HOT, DEMOTIONS, SAMPLE = 512, 3, 8
 #: Rounds in which the members of a bucket are compared with one of them, before all pairs still apart are.
 STARS = 2
@@ -32,12 +38,18 @@ def shingles(text: str | None) -> set[bytes]:
     return {b" ".join(words[i : i + WIDTH]) for i in range(max(1, len(words) - WIDTH + 1))}
 
 
-def similar(a: set[bytes], b: set[bytes]) -> bool:
+def similar(a: set, b: set) -> bool:
     common = len(a & b)
     return 5 * common >= 4 * (len(a) + len(b) - common)
 
 
+def prefix_size(n):
+    """Elements of a set of n of which at least one must be in any near set: all but 4/5, and one."""
+    return n - (4 * n + 4) // 5 + 1
+
+
 def _hashes(text: str | None) -> np.ndarray:
+    """Sorted distinct shingle hashes."""
     words = words_of(text)
     if not words:
         return np.zeros(0, np.uint64)
@@ -49,7 +61,7 @@ def _hashes(text: str | None) -> np.ndarray:
 
 
 def _described(df: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(row, n, digest of the set, prefix, parity bits of 256 bins) of the shingle set of each text."""
+    """(row, n, digest of the set, fingerprint, prefix, parity bits of 256 bins) of the shingle set of each text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -58,14 +70,15 @@ def _described(df: DataFrame, hot: np.ndarray) -> DataFrame:
                 h = _hashes(t)
                 n = len(h)
                 d = xxhash.xxh3_128_digest(h.tobytes())
+                fp = np.uint64(majority(h)).view(np.int64) if n else 0
                 bits = np.packbits((np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64).tolist()
                 if len(hot) and n:
                     late = np.isin(h, hot, assume_unique=True)
                     h = np.concatenate([h[~late], h[late]])
-                out.append((row, n, d, h[: n - (4 * n + 4) // 5 + 1].view(np.int64) if n else h.view(np.int64), *bits))
-            yield pd.DataFrame(out, columns=["row", "n", "digest", "prefix", *BITS])
+                out.append((row, n, d, fp, h[: prefix_size(n)].view(np.int64) if n else h.view(np.int64), *bits))
+            yield pd.DataFrame(out, columns=["row", "n", "digest", "fp", "prefix", *BITS])
 
-    return df.select("row", "text").mapInPandas(run, "row long, n int, digest binary, prefix array<long>, b0 long, b1 long, b2 long, b3 long")
+    return df.select("row", "text").mapInPandas(run, "row long, n int, digest binary, fp long, prefix array<long>, b0 long, b1 long, b2 long, b3 long")
 
 
 def _hot(texts: DataFrame) -> np.ndarray:
@@ -81,6 +94,31 @@ def _hot(texts: DataFrame) -> np.ndarray:
     return hot
 
 
+def _whole_sets(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """(row, n, h): all shingle hashes of the given rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            h = [_hashes(t).view(np.int64) for t in b["text"]]
+            yield pd.DataFrame({"row": b["row"], "n": np.array([len(x) for x in h], np.int32), "h": h})
+
+    return texts.join(rows, "row", "left_semi").select("row", "text").mapInPandas(run, "row long, n int, h array<long>")
+
+
+def _by_rarity(sets: DataFrame) -> DataFrame:
+    """(row, key, central): prefixes of ``sets(row, n, h)`` with the rarest shingles first, and how common all of a set are.
+
+    Shingles of one set only head its prefix but can be shared with none, so only the rest of the prefix is returned.
+    """
+    keys = sets.select("row", "n", F.explode("h").alias("key"))
+    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = keys.join(counts, "key").groupBy("row").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "key"))).alias("s"), F.sum(F.log2("c")).alias("sum"))
+    size = F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1
+    left = (size - (F.col("n") - F.size("s"))).cast("int")
+    heads = shared.where(left > 0).select("row", (F.col("sum") / F.col("n")).alias("central"), F.explode(F.slice("s", F.lit(1), left)).alias("x"))
+    return heads.select("row", "central", "x.key")
+
+
 def _possible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """Pairs (a, b) that sizes and parity bits leave possible: each shingle in one set only flips one bin's parity."""
     of = lambda c: facts.select(*[F.col(x).alias(f"{c}_{x}" if x != "row" else c) for x in ("row", "n", *BITS)])
@@ -90,8 +128,24 @@ def _possible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").where(near).select("a", "b")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of rows whose shingle sets, compared by bytes, are near."""
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of rows of ``sets(row, h)`` that are near."""
+    of = lambda c: sets.select(F.col("row").alias(c), F.col("h").alias(f"{c}_h"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b["a_h"], b["b_h"]):
+                both = np.sort(np.concatenate([x, y]))
+                common = int((both[1:] == both[:-1]).sum())
+                ok.append(5 * common >= 4 * (len(both) - common))
+            yield b.loc[np.array(ok, bool), ["a", "b"]]
+
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_h", "b_h").mapInPandas(run, "a long, b long")
+
+
+def _verified_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of rows whose texts are near."""
     of = lambda c: texts.select(F.col("row").alias(c), F.col("text").alias(f"{c}_text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,38 +208,59 @@ def _pairs_apart(live: DataFrame) -> DataFrame:
     return tiles.mapInPandas(run, "a long, b long").distinct()
 
 
+def _fingerprint_links(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows of ``sets(row, fp)`` whose fingerprints link: equal ones with the least row of theirs, others over those."""
+    own = sets.groupBy("fp").agg(F.min("row").alias("rep"))
+    equal = sets.join(own, "fp").where("row <> rep").select(F.col("rep").alias("a"), F.col("row").alias("b"))
+    named = lambda c: own.select(F.col("fp").alias(c), F.col("rep").alias(f"{c}_row"))
+    near = near_links(own.select("fp")).join(named("a"), "a").join(named("b"), "b").select(F.col("a_row").alias("a"), F.col("b_row").alias("b"))
+    return equal.unionByName(near)
+
+
+def _apart(live: DataFrame) -> DataFrame:
+    """The rows of ``live(key, row, comp, ...)`` in buckets that hold several components."""
+    keys = live.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return live.join(keys, "key", "left_semi")
+
+
 def near_groups(df: DataFrame) -> DataFrame:
     """(row, root) for every row of ``df`` (row long, unique; text): root is one row of its group, linked by similarities of 0.8 or more.
 
-    Equal sets are one. Any near pair shares a shingle among the first fifth of both sets, in whatever one order of all
-    shingles, so it meets in a bucket. There each member is compared with one member first; buckets that hold several
-    components after that compare all pairs across them. Every link is verified on the texts.
+    Equal sets are one; null and word-free texts are one group. Fingerprints of the shingle sets that differ in four bits or
+    fewer give the first links, by :func:`simhash.near_links`. Then sets meet in buckets of the shingles of their prefixes:
+    in hash order first, which only tells who can have a partner left, then, among those, rarest shingles first. There each
+    member is compared with the most common set of the bucket, and buckets that hold several components after that compare
+    all pairs across them. Every link is verified. An empty table gives an empty result; very long texts are taken whole.
     """
+    small_batches(df.sparkSession)
     texts = df.select("row", "text")
     meta = materialise(_described(texts, _hot(texts)))
-    facts = meta.select("row", "n", *BITS)
     same = materialise(meta.groupBy("digest").agg(F.min("row").alias("rep")))
-    sets = meta.select("row", "prefix").join(same.select(F.col("rep").alias("row")), "row", "left_semi")
-    live = sets.select(F.explode("prefix").alias("key"), "row", F.col("row").alias("comp")).repartition("key")
-    found, labels = [], None
+    reps = same.select(F.col("rep").alias("row"))
+    found = [materialise(_verified_texts(_possible(_fingerprint_links(meta.select("row", "fp").join(reps, "row", "left_semi")), meta), texts))]
+    labels = connected_components(found[0])
+    known = lambda d: d.join(labels, d["row"] == labels["node"], "left").withColumn("comp", F.coalesce("root", "row")).drop("node", "root")
+    first = meta.select("row", "prefix").join(known(reps), "row").select(F.explode("prefix").alias("key"), "row", "comp").repartition("key")
+    rows = materialise(_apart(first).select("row").distinct())
+    sets = materialise(_whole_sets(texts, rows))
+    heads = materialise(_by_rarity(sets))
+    facts = meta.select("row", "n", *BITS).join(rows, "row", "left_semi")
     for turn in range(STARS + 1):
-        if labels is not None:
-            live = live.drop("comp").join(labels, live["row"] == labels["node"], "left").select("key", "row", F.coalesce("root", "row").alias("comp")).repartition("key")
-        # buckets of one set or one component have nothing left to compare
-        apart = live.groupBy("key").agg(F.min(F.struct("comp", "row")).alias("lo"), F.max(F.struct("comp", "row")).alias("hi")).where("lo.comp < hi.comp").select("key")
-        live = materialise(live.join(apart, "key"))
+        live = materialise(_apart(known(heads)))
         if live.isEmpty():
             break
         if turn < STARS:
-            centre = live.groupBy("key").agg(F.min(F.struct(F.xxhash64("row", F.lit(turn)).alias("h"), "row", "comp")).alias("m"))
+            first_of = F.col("central") if turn == 0 else F.xxhash64("row", F.lit(turn))
+            centre = live.groupBy("key").agg(F.max(F.struct(first_of.alias("h"), "row", "comp")).alias("m"))
             met = live.join(centre, "key").where("comp <> m.comp").select(F.least("row", "m.row").alias("a"), F.greatest("row", "m.row").alias("b")).distinct()
             pairs = _possible(met, facts)
         else:
-            pairs = _pairs_apart(live.join(facts, "row"))
-        found.append(materialise(_verified(materialise(pairs), texts)))
+            pairs = _pairs_apart(live.select("key", "row", "comp").join(facts, "row"))
+        found.append(materialise(_verified(pairs, sets)))
         links = found[0]
         for more in found[1:]:
             links = links.unionByName(more)
         labels = connected_components(links)
-    named = same if labels is None else same.join(labels, same["rep"] == labels["node"], "left").select("digest", F.coalesce("root", "rep").alias("rep"))
+        heads = live.select("key", "row", "central")
+    named = same.join(labels, same["rep"] == labels["node"], "left").select("digest", F.coalesce("root", "rep").alias("rep"))
     return meta.select("row", "digest").join(named, "digest").select("row", F.col("rep").alias("root"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import BASE, Rolling, bounds, chunks, joined, mix
+from marlstone.llm.common import bounds, chunks, exact_ids, joined, small_batches
 
 #: Shortest repeat, in words, that counts as repetition.
 MIN_REPEAT = 8
@@ -36,7 +36,7 @@ def suffix_repeats(group: np.ndarray, value: np.ndarray) -> np.ndarray:
         return out
     s, e = bounds(group)
     end = np.repeat(e, e - s)
-    key = mix(value + group.astype(np.uint64) * np.uint64(BASE))
+    key = group.astype(np.int64) * (int(value.max()) + 1) + value.astype(np.int64)
     order = np.argsort(key)
     rank, some = _refine(order, key[order], np.zeros(n, np.int64), None)
     ranks, live, width = [rank], some, 1
@@ -94,7 +94,6 @@ def measure(texts: pd.Series, min_repeat: int = MIN_REPEAT) -> dict[str, np.ndar
     per = lambda flags: np.add.reduceat(np.append(flags, 0).astype(np.int64), at[:-1])
     edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
     ws, we = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    rolling = Rolling.of_bytes(buf)
     wdoc = doc(ws)
     out = {"n_words": np.bincount(wdoc, minlength=m)}
     out["word_chars"] = per(((buf & 0xC0) != 0x80) & ~space)
@@ -105,13 +104,13 @@ def measure(texts: pd.Series, min_repeat: int = MIN_REPEAT) -> dict[str, np.ndar
     full = np.add.reduceat(np.append(~space, 0).astype(np.int64), ls) > 0
     full &= le > ls
     ls, le = ls[full], le[full]
-    ldoc, lhash = doc(ls), rolling.slices(ls, le)
-    order = np.lexsort((le - ls, lhash, ldoc))
-    d, h, w = ldoc[order], lhash[order], (le - ls)[order]
-    again = (d[1:] == d[:-1]) & (h[1:] == h[:-1]) & (w[1:] == w[:-1]) if len(d) else np.zeros(0, bool)
+    ldoc, line = doc(ls), exact_ids(buf, ls, le)
+    order = np.lexsort((line, ldoc))
+    d, h = ldoc[order], line[order]
+    again = (d[1:] == d[:-1]) & (h[1:] == h[:-1])
     out["n_dup_lines"] = np.bincount(d[1:][again], minlength=m)
     # repeats over words
-    rep = suffix_repeats(wdoc, rolling.slices(ws, we))
+    rep = suffix_repeats(wdoc, exact_ids(buf, ws, we))
     at_rep = np.flatnonzero(rep >= min_repeat)
     hit = covered(at_rep, at_rep + rep[at_rep], len(ws)) if len(ws) else np.zeros(0, bool)
     out["n_repeat_words"] = np.bincount(wdoc[hit], minlength=m)
@@ -132,6 +131,7 @@ def quality_rules(df: DataFrame, text_col: str = "text", min_repeat: int = MIN_R
     Null and empty texts have no words and fail; every row gives one row, repeated rows too; all other columns pass
     through whatever their names (a column ``quality`` is replaced); very long texts are handled whole, one at a time.
     """
+    small_batches(df.sparkSession)
     names = [c for c in df.columns if c != "quality"]
     count = _counter(min_repeat)  # only the text goes to Python
     q = F.col("quality")
@@ -154,4 +154,4 @@ def _counter(min_repeat: int):
             parts = [pd.DataFrame(measure(c["text"], min_repeat)) for c in chunks(pdf, "text")]
             yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(measure(pdf["text"], min_repeat))
 
-    return count
+    return count.asNondeterministic()  # so that a filter on the counts does not take them once more

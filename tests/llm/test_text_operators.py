@@ -195,16 +195,18 @@ def brute_hits(t, items):
 def test_decontamination(spark, docs, empty, edge_texts, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
     items = [(1, " ".join((edge_texts[2] or "").split()[:25])), (2, edge_texts[5]), (3, None), (4, ""), (5, "ab ab"), (6, "É, x!"), (7, edge_texts[2]), (8, "zz"), (9, "ab " * 30)]
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    items = [(f"a{i}", t) for i, t in items] + [(None, edge_texts[5])]
+    bench = spark.createDataFrame(items, "item_id string, text string")
     found = decontaminate.find_contamination(docs, bench)
+    assert set(found.columns) == set(docs.columns)
     for r in found.collect():
-        n, hit, ids = brute_hits(edge_texts[r["doc_id"]], items)
+        n, hit, ids = brute_hits(edge_texts[r["doc_id"]], items[:-1])
         h = r["hits"]
         got = {k for s in h["spans"] for k in range(s["s"], s["e"])}
         assert (h["n_words"], got, set(h["items"])) == (n, hit, ids), r["doc_id"]
     cut = decontaminate.remove_spans(found)
     for r in cut.collect():
-        n, hit, _ = brute_hits(edge_texts[r["doc_id"]], items)
+        n, hit, _ = brute_hits(edge_texts[r["doc_id"]], items[:-1])
         assert not hit or 2 * len(hit) <= n
         if hit:
             words = decontaminate.normal_words(r["text"])
@@ -240,17 +242,39 @@ def test_secrets_and_ledger(spark):
         assert [tuple(x) for x in r["found"]] == [(s, k, n, e) for s, k, n, e in brute_secrets(texts[r["doc_id"]])], r["doc_id"]
     # a second run scans nothing that the ledger has, and joins old findings to new paths
     more = spark.createDataFrame([(100, SECRET_TEXTS[2], "x"), (101, "token=newnewnew1", "x")], df.schema)
-    again, ledger2, _ = secrets.scan_secrets(more, ledger=ledger, findings=findings)
+    again, ledger2, both = secrets.scan_secrets(more, ledger=ledger, findings=findings)
     assert {r["doc_id"]: len(r["found"]) for r in again.collect()} == {100: 1, 101: 1}
-    assert ledger2.count() == ledger.count() + 1
+    assert ledger2.count() == ledger.count() + 1 and both.count() == findings.count() + 1
     docs = more.select(F.col("doc_id").cast("string").alias("path"), "text").withColumn("blob", secrets.blob_of(F.col("text")))
-    assert [r["text"] for r in secrets.unseen_blobs(docs, ledger, secrets.RULES_VERSION).collect()] == ["token=newnewnew1"]
-    assert len(secrets.unseen_blobs(docs, ledger, "2").collect()) == 2
+    todo = lambda **a: {r["path"]: sorted(x["rule"] for x in r["todo"]) for r in secrets.unseen_pairs(docs, ledger, **a).collect()}
+    kinds = sorted(secrets.VERSIONS)
+    assert todo() == {"101": kinds}
+    # one changed rule: its pairs alone are scanned again
+    changed = secrets.VERSIONS | {"assign": "2"}
+    assert todo(versions=changed) == {"100": ["assign"], "101": kinds}
+    got, ledger3, _ = secrets.scan_secrets(more, ledger=ledger2, findings=both, versions=changed)
+    assert {r["doc_id"]: len(r["found"]) for r in got.collect()} == {100: 1, 101: 1}
+    assert {len(r["seen"]) for r in ledger3.where(F.col("blob").isin([r["blob"] for r in docs.collect()])).collect()} == {len(kinds) + 1}
+    # a withdrawn rule's findings are joined back to no path
+    left = tuple(r for r in secrets.RULES if r[0] != "assign")
+    assert [len(r["found"]) for r in secrets.scan_secrets(more, ledger=ledger2, findings=both, rules=left)[0].collect()] == [0, 0]
+    with pytest.raises(ValueError):
+        secrets.scan_secrets(more, ledger=ledger)
     red = {r["doc_id"]: r["text"] for r in secrets.redact(rows).collect()}
     assert red[2] == "[SECRET]' and token:abc" and red[12] == "plain" and red[10] == "[SECRET]" and red[11] == "\U0001f600 [SECRET]"
     assert secrets.scan_secrets(df.limit(0))[0].count() == 0
 
 
+def test_secret_rules_take_linear_time(spark):
+    import time
+
+    for t in ("eyJ" * 350_000, "eyJ-" * 260_000, "AKIA" * 260_000, "password " * 110_000, "password" + " " * 1_000_000, "eyJaaaaaaaa." + "eyJ" * 330_000):
+        df = spark.createDataFrame([(1, t)], "doc_id long, text string")
+        began = time.time()
+        secrets.scan_secrets(df)[0].collect()
+        assert time.time() - began < 20
+
+
 def test_mixing(spark, docs, empty, edge_texts):
     got = mixing.mix_sources(docs, budget_share=1.5).collect()
     total = sum(len([w for w in re.split(r"[\x20\x09-\x0d]+", t or "") if w]) for t in edge_texts)
