@@ -13,13 +13,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+from marlstone.llm.common import small_batches
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STEP = re.compile(r"[>=]")
+_VALUE = re.compile(r"[\s>]")
+_KEY = re.compile(r"([^\s/\"'<>=]+)\s*\Z")
 _RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "select", "object"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "pre", "section", "table", "ul"}
+_LANDMARKS = ("article", "main", "nav", "header", "footer", "aside", "form", "section", "dialog")
 #: Ancestors and name parts (of class, id and role) that give features.
 _TAGS = ("nav", "header", "footer", "aside", "form", "article", "main", "section", "ul", "table", "button", "dialog", "menu", "figure", "blockquote", "h1", "h2", "h3", "p", "pre", "address")
 _NAMES = {
@@ -34,26 +39,92 @@ _BAD = ("ad", "comment", "side", "menu", "notice", "foot", "head", "share")
 @dataclass
 class Block:
     text: str
-    path: tuple[str, ...]
+    tags: frozenset[str]  # of all ancestors
+    inner: str  # nearest ancestor that is a landmark
     names: frozenset[str]
     linked: int  # characters inside links
 
 
+class _Tags:
+    """Tags of a page in order, in time linear in its length.
+
+    Quotes open a value only after ``=``; a quote that is never closed is a plain character. What starts a tag or comment
+    that never ends is dropped with the rest of the page, as browsers do; ``<`` before anything else is text.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+
+    def next(self, at: int) -> tuple[int, int, str, str, dict[str, str]] | None:
+        """(start, end, "" or "/", name, attributes) of the next tag from ``at`` on; comments have no name."""
+        page, n = self.page, len(self.page)
+        while True:
+            k = page.find("<", at)
+            if k < 0 or k + 1 >= n:
+                return None
+            c = page[k + 1]
+            if c == "!" and page.startswith("<!--", k):
+                if page.startswith(">", k + 4) or page.startswith("->", k + 4):
+                    return k, page.index(">", k) + 1, "", "", {}
+                e = page.find("-->", k + 4)
+                return k, e + 3 if e >= 0 else n, "", "", {}
+            slash = "/" if c == "/" else ""
+            m = _NAME.match(page, k + 1 + len(slash))
+            if m is None and c not in "!?/":
+                at = k + 1
+                continue
+            if self.last[">"] < k:
+                return k, n, "", "", {}
+            if m is None:
+                return k, page.index(">", k) + 1, "", "", {}
+            end, values = self._end(m.end())
+            return k, end, slash, m[0].lower(), values
+
+    def _end(self, at: int) -> tuple[int, dict[str, str]]:
+        page, n, values, since = self.page, len(self.page), {}, at
+        while True:
+            m = _STEP.search(page, at)
+            if m is None:
+                return n, values
+            if m[0] == ">":
+                return m.end(), values
+            at = m.end()
+            key = _KEY.search(page, max(since, m.start() - 40), m.start())
+            while at < n and page[at].isspace():
+                at += 1
+            q = page[at : at + 1]
+            if q and q in "\"'" and self.last[q] > at:
+                e = page.find(q, at + 1)
+                value, at = page[at + 1 : e], e + 1
+            else:
+                v = _VALUE.search(page, at)
+                e = v.start() if v else n
+                value, at = page[at:e], e
+            since = at
+            if key and key[1].lower() in ("class", "id", "role"):
+                values[key[1].lower()] = value
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order: text between block-level tags, inline tags dissolved, scripts and the like dropped."""
     if not isinstance(page, str):
         return []
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    # open elements: name, and tags, nearest landmark and names of it and its ancestors
+    stack: list[tuple[str, frozenset[str], str, frozenset[str]]] = []
+    depth: dict[str, int] = {}
     parts: list[str] = []
     linked, at, end = 0, 0, len(page)
     links = 0
+    tags = _Tags(page)
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(_html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, tuple(t for t, _ in stack), frozenset().union(*(n for _, n in stack)) if stack else frozenset(), linked))
+            top = stack[-1] if stack else ("", frozenset(), "none", frozenset())
+            out.append(Block(text, *top[1:], linked))
         parts.clear()
         linked = 0
 
@@ -64,33 +135,35 @@ def leaf_blocks(page: str | None) -> list[Block]:
             if links:
                 linked += len(piece)
 
+    def close(i: int) -> None:
+        for x in stack[i:]:
+            depth[x[0]] -= 1
+        del stack[i:]
+
     while at < end:
-        m = _TAG.search(page, at)
-        if m is None:
+        found = tags.next(at)
+        if found is None:
             add(page[at:])
             break
-        add(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
+        start, after, slash, name, values = found
+        add(page[at:start])
+        at = after
+        if not name:
             continue
-        name = name.lower()
-        if m[1]:
+        if slash:
             if name == "a":
                 links = max(0, links - 1)
                 continue
             if name in _INLINE:
                 continue
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if depth.get(name):
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             continue
         if name in _RAW:
-            if not m[3].endswith("/"):
-                close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
+            if page[after - 2 : after - 1] != "/":
+                closing = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+                at = closing.end() if closing else end
             continue
         if name == "a":
             links += 1
@@ -101,15 +174,18 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if name in _VOID:
             continue
         shut = _CLOSES.get(name, set()) | ({"p"} if name in _ENDS_P else set())
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in shut:
-                del stack[i:]
-                break
-            if stack[i][0] in ("ul", "ol", "table", "div", "article", "section", "body"):
-                break
+        if any(depth.get(x) for x in shut):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in shut:
+                    close(i)
+                    break
+                if stack[i][0] in ("ul", "ol", "table", "div", "article", "section", "body"):
+                    break
         links = 0
-        words = {w for a in _ATTR.finditer(m[3]) for w in re.split(r"[^a-z]+", (a[1] or a[2] or a[3] or "").lower())} if m[3] else ()
-        stack.append((name, frozenset(_NAME_OF[w] for w in words if w in _NAME_OF)))
+        own = {_NAME_OF[w] for v in values.values() for w in re.split(r"[^a-z]+", v.lower()) if w in _NAME_OF}
+        _, above, inner, names = stack[-1] if stack else ("", frozenset(), "none", frozenset())
+        stack.append((name, above | {name} if name in _TAGS and name not in above else above, name if name in _LANDMARKS else inner, names | own if own - names else names))
+        depth[name] = depth.get(name, 0) + 1
     flush()
     return out
 
@@ -117,14 +193,13 @@ def leaf_blocks(page: str | None) -> list[Block]:
 def feature_names(blocks: list[Block]) -> list[list[str]]:
     """Ancestor-tag and text features of each block of a page."""
     rows = []
-    has_article = any("article" in b.path or "main" in b.path for b in blocks)
+    has_article = any("article" in b.tags or "main" in b.tags for b in blocks)
     for b in blocks:
         f = ["bias"]
-        tags = set(b.path)
+        tags = b.tags
         f += [f"in:{t}" for t in _TAGS if t in tags]
         f += [f"name:{n}" for n in b.names]
-        inner = next((t for t in reversed(b.path) if t in ("article", "main", "nav", "header", "footer", "aside", "form", "section", "dialog")), "none")
-        f.append(f"inner:{inner}")
+        f.append(f"inner:{b.inner}")
         if any(n in b.names for n in _BAD):
             f.append("bad")
         if has_article and not tags & {"article", "main"}:
@@ -309,6 +384,7 @@ def extract_text(df: DataFrame, html_col: str = "html", crf: BlockCRF | None = N
     space inside a block is one space; nothing else is dropped or cut. Other columns pass through whatever their names
     (``main_text`` is replaced); repeated rows give equal results; an empty table gives an empty result.
     """
+    small_batches(df.sparkSession)
     names = [c for c in df.columns if c != "main_text"]
     shared = df.sparkSession.sparkContext.broadcast(crf or fit())
 

@@ -4,11 +4,13 @@ Every window of ``length`` bytes has one anchor: the start of the 32-byte gram w
 equals. Equal windows have their anchor at the same offset, so only suffixes at anchors need to meet. An anchor stands for
 the run of windows that share it; the bytes of that run are its context.
 
-1. Anchors of all texts, as (gram hash, context hash, row, place): no text is shuffled.
-2. Grams seen once cannot repeat. Where all contexts of a gram are equal, all their windows repeat: settled by counts.
-3. For the rest one representative of each distinct context fetches its bytes. These suffixes are range-partitioned by
-   sampled splitters on their leading bytes; each bucket sorts its suffixes by multikey quicksort, drops those whose longest
-   common prefix with both neighbours is too short, and compares the windows of the others.
+1. Anchors of all texts, as (gram hash, digest of the context, row, place), written once: no text is shuffled.
+2. Grams seen once cannot repeat. Of the others two representatives of each distinct context (one if it stands alone) fetch
+   their bytes.
+3. These suffixes are range-partitioned by sampled splitters on their leading bytes; each bucket sorts its suffixes by
+   multikey quicksort, drops those whose longest common prefix with both neighbours is too short, and compares the windows
+   of the others by their bytes. Hashes pick what meets, bytes decide; further copies of a context whose two representatives
+   agree follow by its 128-bit digest.
 4. A gram with more than GROUP distinct contexts lies in several buckets: its windows meet across their boundaries by digest.
 5. Spans go back to their rows, where they are united and cut out.
 """
@@ -23,11 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import BASE, Rolling, bounds, materialise, partitions
+from marlstone.llm.common import Rolling, bounds, materialise, partitions, small_batches
 
 LENGTH = 200
 GRAM = 32
-#: Bytes handled at once within a task; a longer text is handled alone.
+#: Bytes handled at once within a task; a longer text is handled in pieces that overlap by a window less one byte.
 STEP = 1 << 19
 #: Distinct contexts of one gram that meet in one task; a larger group is dealt over several buckets.
 GROUP = 20_000
@@ -66,35 +68,36 @@ def anchors(buf: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[
     return a[s], start[s], start[e - 1], h[a[s]]
 
 
-def _batches(texts: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
-    """Groups of texts as one array: their indices, the array, the starts, and each byte's end of text."""
-    i = 0
-    while i < len(texts):
-        j, size = i, 0
-        while j < len(texts) and (j == i or size + len(texts[j]) <= STEP):
-            size += len(texts[j])
+def _batches(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Groups of pieces as one array: the text of each piece, its offset there, the array, the starts, and each byte's end of piece."""
+    pieces = [(i, o, t[o : o + STEP + length - 1]) for i, t in enumerate(texts) for o in range(0, max(len(t) - length + 1, 0), STEP)]
+    k = 0
+    while k < len(pieces):
+        j, size = k, 0
+        while j < len(pieces) and (j == k or size + len(pieces[j][2]) <= STEP):
+            size += len(pieces[j][2])
             j += 1
-        sizes = np.array([len(t) for t in texts[i:j]], np.int64)
+        some = pieces[k:j]
+        sizes = np.array([len(x[2]) for x in some], np.int64)
         at = np.concatenate([[0], np.cumsum(sizes)])
-        yield list(range(i, j)), np.frombuffer(b"".join(texts[i:j]), np.uint8), at, np.repeat(at[1:], sizes)
-        i = j
+        yield np.array([x[0] for x in some]), np.array([x[1] for x in some]), np.frombuffer(b"".join(x[2] for x in some), np.uint8), at, np.repeat(at[1:], sizes)
+        k = j
 
 
 def _anchor_rows(length: int, gram: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rid = b["rid"].to_numpy()
-            for idx, buf, at, ends in _batches([_raw(t) for t in b["text"]]):
+            for idx, offset, buf, at, ends in _batches([_raw(t) for t in b["text"]], length):
                 a, lo, hi, h = anchors(buf, ends, length, gram)
                 if not len(a):
                     continue
                 which = np.searchsorted(at, a, side="right") - 1
-                base = at[which]
-                # a second hash of the whole run of windows with the anchor's place in it
-                two = Rolling.of_bytes(buf, BASE ^ 0x5851F42D4C957F2C | 1).slices(lo, hi + length)
-                two = two + ((a - lo) * 1_000_003 + (hi - lo)).astype(np.uint64) * np.uint64(BASE)
-                place = ((lo - base) << 24) | ((hi - lo) << 12) | (a - lo)
-                yield pd.DataFrame({"kh": h.view(np.int64), "ch": two.view(np.int64), "rid": rid[np.array(idx)[which]], "place": place})
+                # the digest covers the whole run of windows and the anchor's place in it
+                raw, digest = buf.tobytes(), hashlib.blake2b
+                ch = [digest(raw[s : e + length], digest_size=16, salt=o.to_bytes(2, "little")).digest() for s, e, o in zip(lo.tolist(), hi.tolist(), (a - lo).tolist())]
+                place = ((lo - at[which] + offset[which]) << 24) | ((hi - lo) << 12) | (a - lo)
+                yield pd.DataFrame({"kh": h.view(np.int64), "ch": ch, "rid": rid[idx[which]], "place": place})
 
     return run
 
@@ -155,7 +158,8 @@ def _equal_windows(buf: np.ndarray, pos: np.ndarray, length: int) -> np.ndarray:
 
 
 def _solve(rows: pd.DataFrame, length: int, edge: np.ndarray) -> Iterator[pd.DataFrame]:
-    """One bucket's groups of suffixes: spans of windows found twice, and digests for groups that may go on in another bucket."""
+    """One bucket's groups of suffixes: spans of windows found twice, contexts whose two representatives agree (``whole``), and
+    digests for groups that may go on in another bucket."""
     ctx = rows["ctx"].tolist()
     place = rows["place"].to_numpy()
     off, more, lo = place & 0xFFF, (place >> 12) & 0xFFF, place >> 24
@@ -175,17 +179,23 @@ def _solve(rows: pd.DataFrame, length: int, edge: np.ndarray) -> Iterator[pd.Dat
     j = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)  # window in its run, by falling d
     pos = base[owner] + j
     cls = _equal_windows(buf, pos, length)
-    times = np.bincount(cls)
-    twice = times[cls] > 1
+    twice = np.bincount(cls)[cls] > 1
     who = use[owner]
-    rid, n = rows["rid"].to_numpy(), rows["n"].to_numpy()
-    want = twice & (n[who] == 1)
+    rid, n, kh, ch = (rows[c].to_numpy() for c in ("rid", "n", "kh", "ch"))
+    pair = n[who] > 1
+    want = twice & ~pair
     s = (lo[who] + j)[want]
     r = rid[who][want]
+    none = {"digest": None, "known": False, "kh": None, "ch": None}
     if len(s):
         cut = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1)]))
         e = s[np.append(cut[1:], len(s)) - 1] + length
-        yield pd.DataFrame({"rid": r[cut], "s": s[cut], "e": e, "digest": None, "known": False})
+        yield pd.DataFrame({"rid": r[cut], "s": s[cut], "e": e} | none)
+    # a context that stands twice or more: all of its windows must have been found twice
+    found = np.bincount(owner, twice, minlength=len(use)).astype(np.int64)
+    whole = use[(n[use] > 1) & (found == more[use] + 1)]
+    if len(whole):
+        yield pd.DataFrame({"rid": rid[whole], "s": 0, "e": 0} | none | {"kh": kh[whole], "ch": ch[whole]})
     at_edge = np.flatnonzero(edge[who])
     if len(at_edge):
         # single windows ask; of those found here already one of each class answers
@@ -193,7 +203,7 @@ def _solve(rows: pd.DataFrame, length: int, edge: np.ndarray) -> Iterator[pd.Dat
         _, one = np.unique(c, return_index=True)
         first_of = np.zeros(len(at_edge), bool)
         first_of[one] = True
-        known = twice[at_edge] | (n[who[at_edge]] > 1)
+        known = twice[at_edge]
         send = at_edge[~known | first_of]
         raw = buf.tobytes()
         yield pd.DataFrame(
@@ -202,7 +212,9 @@ def _solve(rows: pd.DataFrame, length: int, edge: np.ndarray) -> Iterator[pd.Dat
                 "s": (lo[who] + j)[send],
                 "e": (lo[who] + j)[send] + length,
                 "digest": [hashlib.blake2b(raw[x : x + length], digest_size=16).digest() for x in pos[send].tolist()],
-                "known": (twice[send] | (n[who[send]] > 1)),
+                "known": twice[send],
+                "kh": None,
+                "ch": None,
             }
         )
 
@@ -238,18 +250,16 @@ def _buckets(length: int):
 def duplicate_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(rid, spans array<struct<s,e>>) for the rows of ``docs(rid long, text)`` with a repeated window; spans in bytes, unsorted."""
     spark = docs.sparkSession
-    a = docs.mapInPandas(_anchor_rows(length, gram), "kh long, ch long, rid long, place long")
-    grams = a.groupBy("kh").agg(F.count(F.lit(1)).alias("n"), F.min("ch").alias("c0"), F.max("ch").alias("c1")).where("n > 1")
-    grams = materialise(grams)  # so that both sides of the join are dealt anew and a hot gram can be split
-    again = materialise(a.join(grams.select("kh", (F.col("c0") == F.col("c1")).alias("settled")), "kh"))
-    span = F.struct(F.shiftright("place", 24).alias("s"), (F.shiftright("place", 24) + F.shiftright("place", 12).bitwiseAND(F.lit(0xFFF)) + length).alias("e"))
-    settled = again.where("settled").select("rid", span.alias("x"))
-    open_ = again.where("not settled")
-    kinds = materialise(open_.groupBy("kh", "ch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "place")).alias("rep")))
-    full = open_.join(kinds.where("n > 1").select("kh", "ch"), ["kh", "ch"]).select("rid", span.alias("x"))
+    small_batches(spark)
+    a = materialise(docs.mapInPandas(_anchor_rows(length, gram), "kh long, ch binary, rid long, place long"))
+    grams = materialise(a.groupBy("kh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kh"))
+    again = materialise(a.join(grams, "kh", "left_semi"))
+    at = F.struct("rid", "place")
+    kinds = materialise(again.groupBy("kh", "ch").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi")))
     large = kinds.groupBy("kh").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).cast("int").alias("slots"))
-    sized = kinds.join(large, "kh")
-    asked = sized.select(F.col("rep.rid").alias("rid"), F.struct("ch", "n", "slots", F.col("rep.place").alias("place")).alias("q")).groupBy("rid").agg(F.collect_list("q").alias("asks"))
+    sized = kinds.join(large, "kh").withColumn("slot", F.pmod(F.xxhash64("ch"), F.col("slots")).cast("int"))
+    reps = sized.select("kh", "ch", "n", "slot", "slots", F.explode(F.when(F.col("n") > 1, F.array("lo", "hi")).otherwise(F.array("lo"))).alias("x"))
+    asked = reps.select("x.rid", F.struct("kh", "ch", "n", "slot", "slots", "x.place").alias("q")).groupBy("rid").agg(F.collect_list("q").alias("asks"))
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -261,18 +271,20 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                     lo = p >> 24
                     ctx = raw[lo : lo + ((p >> 12) & 0xFFF) + length]
                     o = p & 0xFFF
-                    out.append((ctx[o : o + gram], q["ch"] % q["slots"], q["slots"], q["n"], rid, p, ctx))
-            yield pd.DataFrame(out, columns=["lead", "slot", "slots", "n", "rid", "place", "ctx"])
+                    out.append((ctx[o : o + gram], q["slot"], q["slots"], q["n"], q["kh"], q["ch"], rid, p, ctx))
+            yield pd.DataFrame(out, columns=["lead", "slot", "slots", "n", "kh", "ch", "rid", "place", "ctx"])
 
-    parts = docs.join(asked, "rid").select("rid", "text", "asks").mapInPandas(fetch, "lead binary, slot int, slots int, n long, rid long, place long, ctx binary")
+    parts = docs.join(asked, "rid").select("rid", "text", "asks").mapInPandas(fetch, "lead binary, slot int, slots int, n long, kh long, ch binary, rid long, place long, ctx binary")
     suffixes = materialise(parts)
     ranged = suffixes.repartitionByRange(partitions(spark), "lead", "slot").sortWithinPartitions("lead")
-    found = materialise(ranged.mapInPandas(_buckets(length), "rid long, s long, e long, digest binary, known boolean"))
+    found = materialise(ranged.mapInPandas(_buckets(length), "rid long, s long, e long, digest binary, known boolean, kh long, ch binary"))
     at_edges = found.where("digest is not null")
     shared = at_edges.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("digest")
     across = at_edges.where("not known").join(shared, "digest").select("rid", F.struct("s", "e").alias("x"))
-    own = found.where("digest is null").select("rid", F.struct("s", "e").alias("x"))
-    every = settled.unionByName(full).unionByName(own).unionByName(across)
+    own = found.where("digest is null and ch is null").select("rid", F.struct("s", "e").alias("x"))
+    span = F.struct(F.shiftright("place", 24).alias("s"), (F.shiftright("place", 24) + F.shiftright("place", 12).bitwiseAND(F.lit(0xFFF)) + length).alias("e"))
+    whole = again.join(found.where("ch is not null").select("kh", "ch"), ["kh", "ch"], "left_semi").select("rid", span.alias("x"))
+    every = whole.unionByName(own).unionByName(across)
     return every.groupBy("rid").agg(F.collect_set("x").alias("spans"))
 
 
@@ -298,21 +310,20 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("rid", F.xxhash64("id", "text"))
     spans = duplicate_spans(docs.select("rid", "text"), length)
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for i, text, spans in zip(b["id"], b["text"], b["spans"]):
-                raw = _raw(text)
-                runs = united(spans) if spans is not None else []
-                left, at = [], 0
-                for s, e in runs:
-                    left.append(raw[at:s])
-                    at = e
-                kept = b"".join([*left, raw[at:]])
-                rows.append((i, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
-            yield pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"id": b["id"].dtype})
-
-    kind = df.schema[id_col].dataType.simpleString()
-    got = docs.join(spans, "rid", "left").select("id", "text", "spans")
-    return got.mapInPandas(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id_col)
+    cut = F.pandas_udf(_cut, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    got = docs.join(spans, "rid", "left").select("id", cut("text", "spans").alias("c"))  # ids do not go to Python
+    return got.select(F.col("id").alias(id_col), "c.*")
+
+
+def _cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    rows = []
+    for text, found in zip(texts, spans):
+        raw = _raw(text)
+        runs = united(found) if found is not None else []
+        left, at = [], 0
+        for s, e in runs:
+            left.append(raw[at:s])
+            at = e
+        kept = b"".join([*left, raw[at:]])
+        rows.append((len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
+    return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])

@@ -18,6 +18,25 @@ def test_leaf_blocks():
     assert html.leaf_blocks("<style>p{}</style><!-- c --> x <textarea>t</textarea>")[0].text == "x"
 
 
+def test_stray_quotes_and_open_ends():
+    texts = lambda page: [b.text for b in html.leaf_blocks(page)]
+    assert texts('<p><a href="x"">link</a> end</p>') == ["link end"]
+    assert texts("<p title=it's>one</p><p>two</p><p>it's</p>") == ["one", "two", "it's"]
+    assert texts("<p data-x = 'a>b' class=c>one<p>2 < 3 <!-- c > --> and <!-->4 <br/>five</ x>") == ["one", "2 < 3 and 4", "five"]
+    assert texts('<p class="a=b>c" id=d"e>one</p>x="y>z" <p title="never>two') == ["one", 'x="y>z"', "two"]
+    assert texts("one <!-- never ends") == ["one"] and texts("one <a href=") == ["one"] and texts("a <") == ["a <"]
+    assert html.leaf_blocks('<div class="x sidebar"><p>t</p></div>')[0].names == {"side"}
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<", "</", "<!", "<!--", "<p =\"", "<p ='", "<x>t", "<p><x>", "</x>", "<li><x>", "&amp", "<script>", "<p class=\"a"])
+def test_markup_is_read_in_linear_time(piece):
+    import time
+
+    began = time.time()
+    html.feature_names(html.leaf_blocks(piece * (1_000_000 // len(piece))))
+    assert time.time() - began < 8
+
+
 def test_extraction(spark):
     df = spark.createDataFrame([(i, p, "clash") for i, p in enumerate(PAGES)] + [(3, PAGES[3], "clash")], "page_id long, html string, main_text string")
     got = html.extract_text(df).collect()

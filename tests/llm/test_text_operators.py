@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from marlstone.llm import decontaminate, language, lm, mixing, quality, secrets, simhash, suffix_dedup
@@ -65,6 +66,34 @@ def test_suffix_dedup_across_buckets(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == [sum(m) for m in brute_removed(texts)]
 
 
+def test_suffix_dedup_takes_long_texts_in_pieces(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    monkeypatch.setattr(suffix_dedup, "STEP", 700)
+    part = prose(rng, 400)
+    texts = [prose(rng, 30) + part, part + prose(rng, 9), prose(rng, 50), part[: len(part) // 2] + prose(rng, 3)]
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == [sum(m) for m in brute_removed(texts)]
+
+
+def test_ids_above_two_to_the_53_stay_beside_nulls(spark):
+    ids = [2**53 + 1, 2**53 + 3, None, -(2**62) - 1]
+    df = spark.createDataFrame([(i, "one two three four five six " * 20) for i in ids], "doc_id long, text string").coalesce(1)
+    key = lambda x: (x is None, x or 0)
+    assert sorted((r["doc_id"] for r in suffix_dedup.suffix_dedup(df).collect()), key=key) == sorted(ids, key=key)
+    got = simhash.simhash_groups(df).collect()
+    assert sorted((r["doc_id"] for r in got), key=key) == sorted(ids, key=key) and {r["component_id"] for r in got} == {-(2**62) - 1}
+
+
+def test_slices_of_one_hash_are_told_apart(monkeypatch):
+    from marlstone.llm import common
+
+    monkeypatch.setattr(common.Rolling, "slices", lambda self, s, e: np.zeros(len(s), np.uint64))
+    q = quality.measure(pd.Series(["ab cd\nab ce\nab cd\n" + " ".join(f"w{i}" for i in range(10, 50)), "xy\nxz"]))
+    assert q["n_dup_lines"].tolist() == [1, 0] and q["n_repeat_words"].tolist() == [0, 0]
+
+
 def test_multikey_sort():
     words = [b"banana", b"ban", b"", b"bananas and more", b"bananas and mire", b"ban", b"\0", b"a" * 30, b"a" * 29]
     order, lcp = suffix_dedup.multikey_sort(words)
