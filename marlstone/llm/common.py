@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 #: Multiplier of the polynomial hashes (odd, so that it has an inverse modulo 2**64).
 BASE = 0x9E3779B97F4A7C15
+#: Bytes that part words: space, tab, newline, vertical tab, form feed, return.
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
 _BYTE_VALUES = np.random.default_rng(11).integers(1, 2**63, 256).astype(np.uint64)
 
 

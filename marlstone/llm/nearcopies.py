@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import materialise, small_batches, words_of
+from marlstone.llm.common import SPACES, Rolling, chunks, materialise, mix, small_batches, words_of
 from marlstone.llm.components import connected_components
 from marlstone.llm.simhash import majority, near_links
 
@@ -28,6 +28,7 @@ HOT, DEMOTIONS, SAMPLE = 512, 3, 8
 STARS = 2
 TILE = 1024
 BITS = ("b0", "b1", "b2", "b3")
+_PLACES = np.random.default_rng(17).integers(1, 2**63, WIDTH).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str | None) -> set[bytes]:
@@ -48,16 +49,31 @@ def prefix_size(n):
     return n - (4 * n + 4) // 5 + 1
 
 
-def _hashes(text: str | None) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    words = words_of(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    line = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = (ends - [len(w) + 1 for w in words]).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(line[s:e]) for s, e in zip(starts, (ends[min(WIDTH, len(words)) - 1 :] - 1).tolist())], np.uint64))
+def spare(n):
+    """By how much the first prefixes are longer: so many more shingles must be common there."""
+    return n // 8
+
+
+def _hash_sets(texts) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; many texts at once."""
+    for part in chunks(pd.DataFrame({"t": texts}), "t"):
+        raw = [t.encode("utf-8", "surrogatepass").lower() if isinstance(t, str) else b"" for t in part["t"]]
+        at = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
+        buf = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+        space = SPACES[buf]
+        edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
+        ws, we = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        word = Rolling.of_bytes(buf).slices(ws, we)
+        first = np.searchsorted(ws, at)  # of the words of each text
+        run = np.zeros(len(word), np.uint64)
+        for j in range(WIDTH):
+            run[: len(word) - j] += word[j:] * _PLACES[j]
+        run = mix(run)
+        for s, e in zip(first[:-1].tolist(), first[1:].tolist()):
+            if e - s >= WIDTH:
+                yield np.unique(run[s : e - WIDTH + 1])
+            else:
+                yield mix(np.array([np.sum(word[s:e] * _PLACES[: e - s]) + np.uint64(e - s)], np.uint64)) if e > s else np.zeros(0, np.uint64)
 
 
 def _described(df: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -66,8 +82,7 @@ def _described(df: DataFrame, hot: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for row, t in zip(b["row"], b["text"]):
-                h = _hashes(t)
+            for row, h in zip(b["row"], _hash_sets(b["text"])):
                 n = len(h)
                 d = xxhash.xxh3_128_digest(h.tobytes())
                 fp = np.uint64(majority(h)).view(np.int64) if n else 0
@@ -75,7 +90,7 @@ def _described(df: DataFrame, hot: np.ndarray) -> DataFrame:
                 if len(hot) and n:
                     late = np.isin(h, hot, assume_unique=True)
                     h = np.concatenate([h[~late], h[late]])
-                out.append((row, n, d, fp, h[: prefix_size(n)].view(np.int64) if n else h.view(np.int64), *bits))
+                out.append((row, n, d, fp, h[: prefix_size(n) + spare(n)].view(np.int64) if n else h.view(np.int64), *bits))
             yield pd.DataFrame(out, columns=["row", "n", "digest", "fp", "prefix", *BITS])
 
     return df.select("row", "text").mapInPandas(run, "row long, n int, digest binary, fp long, prefix array<long>, b0 long, b1 long, b2 long, b3 long")
@@ -99,7 +114,7 @@ def _whole_sets(texts: DataFrame, rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            h = [_hashes(t).view(np.int64) for t in b["text"]]
+            h = [x.view(np.int64) for x in _hash_sets(b["text"])]
             yield pd.DataFrame({"row": b["row"], "n": np.array([len(x) for x in h], np.int32), "h": h})
 
     return texts.join(rows, "row", "left_semi").select("row", "text").mapInPandas(run, "row long, n int, h array<long>")
@@ -144,18 +159,6 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_h", "b_h").mapInPandas(run, "a long, b long")
 
 
-def _verified_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of rows whose texts are near."""
-    of = lambda c: texts.select(F.col("row").alias(c), F.col("text").alias(f"{c}_text"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ok = [similar(shingles(x), shingles(y)) for x, y in zip(b["a_text"], b["b_text"])]
-            yield b.loc[np.array(ok, bool), ["a", "b"]]
-
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_text", "b_text").mapInPandas(run, "a long, b long")
-
-
 def _tile_pairs(x: np.ndarray) -> np.ndarray:
     """Pairs of one tile (rows of row, n, comp and bits) in different components that sizes and parity bits leave possible."""
     x = x[np.argsort(x[:, 1], kind="stable")]
@@ -223,37 +226,52 @@ def _apart(live: DataFrame) -> DataFrame:
     return live.join(keys, "key", "left_semi")
 
 
+def _partnered(sets: DataFrame) -> DataFrame:
+    """The rows of ``sets(row, n, prefix)`` that share enough of their prefix with other sets to have a near one among them."""
+    keys = sets.select(F.explode("prefix").alias("key"), "row").repartition("key")
+    shared = keys.groupBy("key").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi").select("key")
+    counts = keys.join(shared, "key", "left_semi").groupBy("row").agg(F.count(F.lit(1)).alias("c"))
+    # the least partner has 4/5 of the size, and so many spare shingles
+    need = F.floor(F.ceil(4 * F.col("n") / 5) / 8) + 1
+    return counts.join(sets.select("row", "n"), "row").where(F.col("c") >= need).select("row")
+
+
 def near_groups(df: DataFrame) -> DataFrame:
     """(row, root) for every row of ``df`` (row long, unique; text): root is one row of its group, linked by similarities of 0.8 or more.
 
     Equal sets are one; null and word-free texts are one group. Fingerprints of the shingle sets that differ in four bits or
-    fewer give the first links, by :func:`simhash.near_links`. Then sets meet in buckets of the shingles of their prefixes:
-    in hash order first, which only tells who can have a partner left, then, among those, rarest shingles first. There each
-    member is compared with the most common set of the bucket, and buckets that hold several components after that compare
-    all pairs across them. Every link is verified. An empty table gives an empty result; very long texts are taken whole.
+    fewer give the first candidates, by :func:`simhash.near_links`. Prefixes in hash order tell who can have a partner at all:
+    with ``spare`` more shingles in both prefixes a near pair has at least as many more in common. Among those sets meet in
+    buckets of their rarest shingles. There each member is compared with the most common set of the bucket, and buckets that
+    hold several components after that compare all pairs across them. Every link is verified. An empty table gives an empty
+    result; very long texts are taken whole.
     """
     small_batches(df.sparkSession)
     texts = df.select("row", "text")
     meta = materialise(_described(texts, _hot(texts)))
     same = materialise(meta.groupBy("digest").agg(F.min("row").alias("rep")))
     reps = same.select(F.col("rep").alias("row"))
-    found = [materialise(_verified_texts(_possible(_fingerprint_links(meta.select("row", "fp").join(reps, "row", "left_semi")), meta), texts))]
-    labels = connected_components(found[0])
-    known = lambda d: d.join(labels, d["row"] == labels["node"], "left").withColumn("comp", F.coalesce("root", "row")).drop("node", "root")
-    first = meta.select("row", "prefix").join(known(reps), "row").select(F.explode("prefix").alias("key"), "row", "comp").repartition("key")
-    rows = materialise(_apart(first).select("row").distinct())
+    facts = meta.select("row", "n", *BITS)
+    close = materialise(_possible(_fingerprint_links(meta.select("row", "fp").join(reps, "row", "left_semi")), facts))
+    rows = materialise(_partnered(meta.select("row", "n", "prefix").join(reps, "row", "left_semi")).union(close.select("a")).union(close.select("b")).distinct())
     sets = materialise(_whole_sets(texts, rows))
     heads = materialise(_by_rarity(sets))
-    facts = meta.select("row", "n", *BITS).join(rows, "row", "left_semi")
+    facts = facts.join(rows, "row", "left_semi")
+    found, labels = [], None
     for turn in range(STARS + 1):
-        live = materialise(_apart(known(heads)))
-        if live.isEmpty():
+        live = heads.withColumn("comp", F.col("row"))
+        if labels is not None:
+            live = heads.join(labels, heads["row"] == labels["node"], "left").select("key", "row", "central", F.coalesce("root", "row").alias("comp"))
+        live = materialise(_apart(live))
+        if turn and live.isEmpty():
             break
         if turn < STARS:
             first_of = F.col("central") if turn == 0 else F.xxhash64("row", F.lit(turn))
             centre = live.groupBy("key").agg(F.max(F.struct(first_of.alias("h"), "row", "comp")).alias("m"))
             met = live.join(centre, "key").where("comp <> m.comp").select(F.least("row", "m.row").alias("a"), F.greatest("row", "m.row").alias("b")).distinct()
             pairs = _possible(met, facts)
+            if turn == 0:
+                pairs = pairs.union(close).distinct()
         else:
             pairs = _pairs_apart(live.select("key", "row", "comp").join(facts, "row"))
         found.append(materialise(_verified(pairs, sets)))

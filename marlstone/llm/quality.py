@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import bounds, chunks, exact_ids, joined, small_batches
+from marlstone.llm.common import SPACES, bounds, chunks, exact_ids, joined, small_batches
 
 #: Shortest repeat, in words, that counts as repetition.
 MIN_REPEAT = 8
@@ -17,8 +17,6 @@ MIN_REPEAT = 8
 MIN_WORDS, MAX_COVERED_PCT = 20, 30
 #: A text fails if one repeat spans at least so many words and so large a share of it.
 LONGEST_WORDS, LONGEST_SHARE = 64, 0.25
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"[#*$%&|<>]"[1:-1])] = True
 
@@ -89,7 +87,7 @@ def measure(texts: pd.Series, min_repeat: int = MIN_REPEAT) -> dict[str, np.ndar
     m = len(texts)
     if m == 0:
         return {k: np.zeros(0, np.int64) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat")}
-    space = _SPACE[buf]
+    space = SPACES[buf]
     doc = lambda pos: np.searchsorted(at, pos, side="right") - 1
     per = lambda flags: np.add.reduceat(np.append(flags, 0).astype(np.int64), at[:-1])
     edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))

@@ -47,6 +47,15 @@ def test_near_copies_against_brute_force(spark, monkeypatch, edge_texts, small):
     assert len(pairs) == len({p[0] for p in pairs}) == len({p[1] for p in pairs}) < len(texts)
 
 
+def test_hashed_sets_follow_the_shingles(edge_texts):
+    texts = [*edge_texts, "a b c d", "a b c d e", "A  b c\td", "a b c d e f a b c d e f"]
+    sets, got = [nearcopies.shingles(t) for t in texts], [set(h.tolist()) for h in nearcopies._hash_sets(texts)]
+    assert [len(x) for x in got] == [len(x) for x in sets]
+    for i in range(0, len(texts), 3):
+        for j in range(len(texts)):
+            assert len(got[i] & got[j]) == len(sets[i] & sets[j])
+
+
 def test_run_removes_planted_near_copies_and_keeps_null_and_repeated_ids(spark, monkeypatch, tmp_path):
     rng = random.Random(9)
     base = [prose(rng, 120) for _ in range(8)]
