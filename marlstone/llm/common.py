@@ -153,6 +153,16 @@ def joined(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join([*raw, b""]), np.uint8), at
 
 
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word of all texts (A-Z lower-cased), and where the words of each text begin (one more at the end)."""
+    raw = [t.encode("utf-8", "surrogatepass").lower() if isinstance(t, str) else b"" for t in texts]
+    at = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)])
+    buf = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+    edge = np.diff(np.concatenate([[True], SPACES[buf], [True]]).astype(np.int8))
+    ws, we = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    return Rolling.of_bytes(buf).slices(ws, we), np.searchsorted(ws, at)
+
+
 def chunks(pdf: pd.DataFrame, text: str, most: int = 300_000):
     """Slices of a batch whose texts have about ``most`` characters together (one long text stays whole)."""
     if len(pdf) == 0:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import SPACES, Rolling, chunks, materialise, mix, small_batches, words_of
+from marlstone.llm.common import chunks, materialise, mix, small_batches, word_hashes, words_of
 from marlstone.llm.components import connected_components
 from marlstone.llm.simhash import majority, near_links
 
@@ -57,14 +57,7 @@ def spare(n):
 def _hash_sets(texts) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; many texts at once."""
     for part in chunks(pd.DataFrame({"t": texts}), "t"):
-        raw = [t.encode("utf-8", "surrogatepass").lower() if isinstance(t, str) else b"" for t in part["t"]]
-        at = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
-        buf = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
-        space = SPACES[buf]
-        edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
-        ws, we = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        word = Rolling.of_bytes(buf).slices(ws, we)
-        first = np.searchsorted(ws, at)  # of the words of each text
+        word, first = word_hashes(part["t"].tolist())
         run = np.zeros(len(word), np.uint64)
         for j in range(WIDTH):
             run[: len(word) - j] += word[j:] * _PLACES[j]

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from marlstone.llm.common import word_hashes
 from marlstone.llm import decontaminate, language, lm, mixing, quality, secrets, simhash, suffix_dedup
 from pyspark.sql import functions as F
 
@@ -350,10 +351,28 @@ def test_lm(spark, docs, empty):
     pair = spark.createDataFrame([(0, " ".join(words), 1), (1, " ".join(shuffled), 1)], "doc_id long, text string, lm int")
     s = {r["doc_id"]: r["lm"]["mean_log_prob"] for r in lm.score(pair, net).collect()}
     assert s[0] > s[1] + 0.1
-    # probabilities of all ids at one place sum to one
-    arr = lm._padded(net, [b"red", b"green", b"blue"])
+    # probabilities of all cells at one place sum to one
+    words, _ = word_hashes(["red green blue"])
+    arr, at, *_ = lm._packed(net, ["red green blue"])
     every = np.array([np.concatenate([arr[:3], [y], arr[4:]]) for y in range(lm.VOCAB)])
-    assert abs(sum(np.exp(net.log_prob(e, np.array([3]))[0]) for e in every) - 1) < 1e-4
+    p = np.array([np.exp(net.log_prob(e, at[1:2])[0]) for e in every])
+    inside = np.exp(net.cells).reshape(-1, lm.SHARED).sum(0)
+    assert abs(p[: lm.KNOWN].sum() + (p[lm.KNOWN :] * inside).sum() - 1) < 1e-4
+    assert sorted(net.ids(words)[0].tolist()) == sorted(set(net.ids(words)[0].tolist())) and net.ids(words)[1].tolist() == [0, 0, 0]
+    # a text that stands twice is remembered, by the formula stated
+    twice = [(i, t) for i, t in enumerate([prose(rng, 60) for _ in range(12)])]
+    twice += [(12, twice[0][1]), (13, None)]
+    df = spark.createDataFrame(twice, "doc_id long, text string")
+    got = {r["doc_id"]: r["lm"] for r in lm.score(df, net, contexts=1).collect()}
+    alone = {r["doc_id"]: r["lm"] for r in lm.score(df.where("doc_id < 12"), net, contexts=1).collect()}
+    assert got[0]["log_prob"] == pytest.approx(got[12]["log_prob"]) and got[13]["log_prob"] == 0
+    arr, at, who, words, inside = lm._packed(net, [twice[0][1]])
+    lp = net.log_prob(arr, at) + inside
+    assert alone[0]["log_prob"] == pytest.approx(lp.sum(), rel=1e-6)
+    ctx = [tuple(np.concatenate([[0, 0], words, [0, 0]])[[i, i + 1, i + 3, i + 4]].tolist()) for i in range(len(words))]
+    assert len(set(ctx)) == len(ctx)
+    assert got[0]["log_prob"] == pytest.approx(np.log((np.exp(lp) + 1) / 2).sum(), rel=1e-6)
+    assert got[0]["mean_log_prob"] > max(got[i]["mean_log_prob"] for i in range(1, 12))
     for r in lm.score(docs, net).collect():
         n = len([w for w in re.split(r"[\x20\x09-\x0d]+", r["text"] or "") if w])
         assert r["lm"]["n_tokens"] == n and (r["lm"]["mean_log_prob"] is None) == (n == 0)
