@@ -10,11 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.llm.common import small_batches
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS, EMBED = 16, 8
-#: Labelled texts that the network is fitted on at most, and the bytes taken from a seeded place of each.
-FIT_ROWS, FIT_BYTES = 4_000, 1_024
+#: Labelled rows that the network is fitted on at most; whole texts are cut into rows of FIT_CHARS characters, each labelled with its text's language.
+FIT_ROWS, FIT_CHARS = 4_000, 1_024
 EPOCHS, STEP, RATE = 6, 128, 0.01
 UNKNOWN = "und"
 _LETTER = r"\p{L}"
@@ -117,25 +119,25 @@ def train(texts: list[str], langs: list[str], seed: int = 3) -> ByteNet:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS) -> ByteNet:
-    """Fit on about ``rows`` distinct labelled texts; each gives FIT_BYTES characters from a seeded place.
+    """Fit on about ``rows`` labelled rows: pieces of FIT_CHARS characters of distinct texts, whole texts taken.
 
-    Copies of a text count once for each language, and every language gives its first texts by a hash of the text, up to an
-    equal share of ``rows`` (one at least) and of what smaller languages leave.
+    Copies of a text count once for each language, and every language gives its first pieces by a hash of text and place, up
+    to an equal share of ``rows`` (one at least) and of what smaller languages leave. Rows with a null language or without a
+    letter are not used; an empty table gives a network without labels.
     """
     usable = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(_LETTER)).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    start = F.pmod(F.col("h"), F.greatest(F.length("t") - FIT_BYTES, F.lit(1))).cast("int") + 1
-    keyed = usable.select(F.xxhash64("t", F.lit(5)).alias("h"), "l", "t")
-    sizes = {r["l"]: r["n"] for r in keyed.select("h", "l").distinct().groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    keyed = usable.select(F.xxhash64("t", F.lit(5)).alias("h"), "l", F.ceil(F.length("t") / FIT_CHARS).cast("int").alias("pieces"), "t")
+    sizes = {r["l"]: r["n"] for r in keyed.select("h", "l", "pieces").distinct().groupBy("l").agg(F.sum("pieces").alias("n")).collect()}
     if not sizes:
         return train([], [])
     left, most = rows, {}
     for i, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):  # small languages leave their rest to larger ones
         most[lang] = min(n, max(1, left // (len(sizes) - i)))
         left -= most[lang]
-    # a hash filter of each language leaves about twice the texts wanted, at least 40: then none is lost but by the ranks below
+    # a hash filter of each language leaves about twice the pieces wanted, at least 40: then none is lost but by the ranks below
     steps = labelled.sparkSession.createDataFrame([(k, max(1, n // (2 * max(most[k], 20))), most[k]) for k, n in sizes.items()], "l string, step long, most long")
-    few = keyed.join(F.broadcast(steps), "l").where(F.pmod(F.xxhash64("h"), F.col("step")) == 0)
-    few = few.select("h", "l", "most", F.substring("t", start, F.lit(FIT_BYTES)).alias("t")).dropDuplicates(["h", "l"])
+    pieces = keyed.join(F.broadcast(steps), "l").withColumn("i", F.explode(F.filter(F.sequence(F.lit(0), F.col("pieces") - 1), lambda i: F.pmod(F.xxhash64("h", i), F.col("step")) == 0)))
+    few = pieces.select(F.xxhash64("h", "i").alias("h"), "l", "most", F.substring("t", F.col("i") * FIT_CHARS + 1, F.lit(FIT_CHARS)).alias("t")).dropDuplicates(["h", "l"])
     rank = F.row_number().over(Window.partitionBy("l").orderBy("h"))
     picked = few.withColumn("rank", rank).where("rank <= most").select("h", "l", "t").orderBy("h", "l").collect()
     return train([r["t"] for r in picked], [r["l"] for r in picked])
@@ -149,6 +151,7 @@ def identify_language(df: DataFrame, net: ByteNet, text_col: str = "text") -> Da
     through whatever their names (``language`` is replaced) and are never inputs; repeated rows get equal results; an
     empty table gives an empty result; a very long text is handled in blocks of windows.
     """
+    small_batches(df.sparkSession)
     names = [c for c in df.columns if c != "language"]
     shared = df.sparkSession.sparkContext.broadcast(net)
 

@@ -221,7 +221,7 @@ def _apart(live: DataFrame) -> DataFrame:
 
 def _partnered(sets: DataFrame) -> DataFrame:
     """The rows of ``sets(row, n, prefix)`` that share enough of their prefix with other sets to have a near one among them."""
-    keys = sets.select(F.explode("prefix").alias("key"), "row").repartition("key")
+    keys = sets.select(F.explode("prefix").alias("key"), "row").where("key is not null").repartition("key")  # one exchange for both uses
     shared = keys.groupBy("key").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi").select("key")
     counts = keys.join(shared, "key", "left_semi").groupBy("row").agg(F.count(F.lit(1)).alias("c"))
     # the least partner has 4/5 of the size, and so many spare shingles

@@ -85,7 +85,10 @@ class UrlModel:
 
 
 def fit_url_model(labelled: DataFrame, url_col: str = "url", label_col: str = "block", rows: int = FIT_ROWS, rounds: int = 20) -> UrlModel:
-    """Fit the trees on at most ``rows`` labelled URLs (label 1: block), picked by a seeded hash; suffix statistics use all of them."""
+    """Fit the trees on at most ``rows`` labelled URLs (label 1: block), picked by a seeded hash; suffix statistics use all of them.
+
+    A training row's own label is taken out of its suffix's statistics, so that the trees see what they see of a new URL.
+    """
     spark = labelled.sparkSession
     seeds = spark.createDataFrame(list(SEED_URLS), f"{url_col} string, {label_col} int")
     both = labelled.select(url_col, F.col(label_col).cast("int").alias(label_col)).where(f"{url_col} is not null and {label_col} is not null")
@@ -97,19 +100,23 @@ def fit_url_model(labelled: DataFrame, url_col: str = "url", label_col: str = "b
     step = max(1, both.count() // (2 * rows))
     pick = both.where(F.pmod(h, F.lit(step)) == 0).orderBy(h, label_col).limit(rows).repartition(4)
     model = UrlModel(None, stats, 0.5)
-    train = _featured(pick, model, url_col).withColumn("label", F.col(label_col).cast("double"))
+    train = _featured(pick, model, url_col, label_col).withColumn("label", F.col(label_col).cast("double"))
     model.trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=4, stepSize=0.2, seed=7, maxBins=32).fit(train.select("features", "label"))
     return model
 
 
-def _featured(df: DataFrame, model: UrlModel, url_col: str) -> DataFrame:
+def _featured(df: DataFrame, model: UrlModel, url_col: str, own: str | None = None) -> DataFrame:
+    """Features as a vector; ``own`` names the label of rows that are part of the suffix statistics."""
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     rows = df.withColumns({f"_f_{k}": v for k, v in lexical(F.col(url_col), host, path).items()} | {"_suffix": F.substring_index(host, ".", -1)})
     stats = model.suffixes.select(F.col("suffix").alias("_s"), "rate", F.col("count").alias("_n"))
     # a suffix's rate is drawn to the prior by as much as twenty rows would
     rows = rows.join(stats, F.col("_suffix") == F.col("_s"), "left")
     n = F.coalesce(F.col("_n"), F.lit(0.0))
-    rows = rows.withColumn("_f_suffix_rate", (F.coalesce("rate", F.lit(0.0)) * n + 20 * model.prior) / (n + 20)).withColumn("_f_suffix_count", F.log1p(n))
+    blocked = F.coalesce("rate", F.lit(0.0)) * n
+    if own is not None:
+        n, blocked = n - 1, blocked - F.col(own)
+    rows = rows.withColumn("_f_suffix_rate", (blocked + 20 * model.prior) / (n + 20)).withColumn("_f_suffix_count", F.log1p(n))
     out = VectorAssembler(inputCols=[f"_f_{k}" for k in FEATURES], outputCol="features").transform(rows)
     return out.drop(*[f"_f_{k}" for k in FEATURES], "_suffix", "_s", "rate", "_n")
 
