@@ -59,7 +59,21 @@ def materialise(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _WRITTEN[id(out)] = (out, where)
+    return out
+
+
+#: Tables of this session that were written and may be discarded, by the frames that read them.
+_WRITTEN: dict[int, tuple] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialise` that nothing reads any more; other frames are left alone."""
+    for df in tables:
+        _, path = _WRITTEN.pop(id(df), (None, None))
+        if path is not None:
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -12,10 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import chunks, materialise, mix, small_batches, word_hashes, words_of
+from marlstone.llm.common import chunks, discard, materialise, mix, small_batches, word_hashes, words_of
 from marlstone.llm.components import connected_components
 from marlstone.llm.simhash import majority, near_links
 
@@ -27,7 +27,8 @@ HOT, DEMOTIONS, SAMPLE = 512, 3, 8
 #: Rounds in which the members of a bucket are compared with one of them, before all pairs still apart are.
 STARS = 2
 TILE = 1024
-BITS = ("b0", "b1", "b2", "b3")
+#: Parity bits of a set, 64 in a column: enough that they tell apart sets of some thousand shingles.
+BITS = tuple(f"b{i}" for i in range(16))
 _PLACES = np.random.default_rng(17).integers(1, 2**63, WIDTH).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -70,7 +71,7 @@ def _hash_sets(texts) -> Iterator[np.ndarray]:
 
 
 def _described(df: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(row, n, digest of the set, fingerprint, prefix, parity bits of 256 bins) of the shingle set of each text."""
+    """(row, n, digest of the set, fingerprint, prefix, parity bits of 1024 bins) of the shingle set of each text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -79,14 +80,14 @@ def _described(df: DataFrame, hot: np.ndarray) -> DataFrame:
                 n = len(h)
                 d = xxhash.xxh3_128_digest(h.tobytes())
                 fp = np.uint64(majority(h)).view(np.int64) if n else 0
-                bits = np.packbits((np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64).tolist()
+                bits = np.packbits((np.bincount((h & np.uint64(64 * len(BITS) - 1)).astype(np.int64), minlength=64 * len(BITS)) & 1).astype(np.uint8)).view(np.int64).tolist()
                 if len(hot) and n:
                     late = np.isin(h, hot, assume_unique=True)
                     h = np.concatenate([h[~late], h[late]])
                 out.append((row, n, d, fp, h[: prefix_size(n) + spare(n)].view(np.int64) if n else h.view(np.int64), *bits))
             yield pd.DataFrame(out, columns=["row", "n", "digest", "fp", "prefix", *BITS])
 
-    return df.select("row", "text").mapInPandas(run, "row long, n int, digest binary, fp long, prefix array<long>, b0 long, b1 long, b2 long, b3 long")
+    return df.select("row", "text").mapInPandas(run, "row long, n int, digest binary, fp long, prefix array<long>, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def _hot(texts: DataFrame) -> np.ndarray:
@@ -221,9 +222,10 @@ def _apart(live: DataFrame) -> DataFrame:
 
 def _partnered(sets: DataFrame) -> DataFrame:
     """The rows of ``sets(row, n, prefix)`` that share enough of their prefix with other sets to have a near one among them."""
-    keys = sets.select(F.explode("prefix").alias("key"), "row").where("key is not null").repartition("key")  # one exchange for both uses
-    shared = keys.groupBy("key").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi").select("key")
-    counts = keys.join(shared, "key", "left_semi").groupBy("row").agg(F.count(F.lit(1)).alias("c"))
+    # one exchange by key, no join: a key in over about HOT prefixes has been put last, so these groups are small
+    of_key = Window.partitionBy("key")
+    keys = sets.select(F.explode("prefix").alias("key"), "row").withColumn("lo", F.min("row").over(of_key)).withColumn("hi", F.max("row").over(of_key))
+    counts = keys.where("lo < hi").groupBy("row").agg(F.count(F.lit(1)).alias("c"))
     # the least partner has 4/5 of the size, and so many spare shingles
     need = F.floor(F.ceil(4 * F.col("n") / 5) / 8) + 1
     return counts.join(sets.select("row", "n"), "row").where(F.col("c") >= need).select("row")
@@ -273,5 +275,6 @@ def near_groups(df: DataFrame) -> DataFrame:
             links = links.unionByName(more)
         labels = connected_components(links)
         heads = live.select("key", "row", "central")
+    discard(close, sets, *found, live)
     named = same.join(labels, same["rep"] == labels["node"], "left").select("digest", F.coalesce("root", "rep").alias("rep"))
     return meta.select("row", "digest").join(named, "digest").select("row", F.col("rep").alias("root"))

@@ -112,3 +112,15 @@ def test_trees_learn_held_out_urls(spark):
     test = urls._featured(spark.createDataFrame([mk(i) for i in range(1000, 1200)], "url string, block int"), model, "url")
     out = model.trees.transform(test).collect()
     assert sum(int(r["prediction"]) == r["block"] for r in out) >= 0.97 * len(out)
+
+
+def test_a_training_row_does_not_see_its_own_label(spark):
+    """Every suffix stands once, so labels that follow no feature must not be learned from the suffix statistics."""
+    stats = spark.createDataFrame([("com", 1.0, 1.0), ("net", 0.0, 1.0), ("org", 0.5, 4.0)], "suffix string, rate double, count double")
+    model = urls.UrlModel(None, stats, 0.5)
+    rows = spark.createDataFrame([("http://a.com/", 1), ("http://a.net/", 0), ("http://a.org/", 1)], "url string, block int")
+    rate = len(urls.FEATURES) - 2
+    own = [r["features"][rate] for r in urls._featured(rows, model, "url", "block").orderBy("url").collect()]
+    assert own == pytest.approx([0.5, 0.5, (1 + 10) / 23])
+    new = [r["features"][rate] for r in urls._featured(rows, model, "url").orderBy("url").collect()]
+    assert new == pytest.approx([11 / 21, 10 / 21, 12 / 24])
