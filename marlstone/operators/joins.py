@@ -38,6 +38,39 @@ def watchlist_matches(df: DataFrame, watchlist: DataFrame, equal: dict[str, str]
     return df.join(w.where(~free(c)), (F.col(v) == F.col(f"w_{c}")) & cond).unionByName(df.join(w.where(free(c)), cond))
 
 
+def watchlist_counts(df: DataFrame, watchlist: DataFrame, id_col: str, equal: dict[str, str], at_least: dict[str, str], most: tuple[str, str], width: float = 100.0) -> DataFrame:
+    """(w_id, n, best) of each criterion that any listing satisfies: how many do, and the least value of the capped column.
+
+    Gives what counting :func:`watchlist_matches` gives without its pairs. Listings are counted by the columns that criteria
+    name and by steps of ``width`` of the capped column; criteria meet those cells, running sums give all whole steps below
+    the cap, and only listings of the cap's own step are compared one by one.
+    """
+    c, v = most
+    dims = list(equal.values()) + list(at_least.values())
+    step = F.floor(F.col(v) / width).cast("long")
+    x = df.where(F.col(v).isNotNull()).select(*[F.col(d).alias(f"d_{d}") for d in dims], F.col(v).alias("_v"), step.alias("_b"))
+    keys = [f"d_{d}" for d in dims]
+    cells = x.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"))
+    groups = cells.groupBy(*keys).agg(F.max("_b").alias("_top"))
+    w = watchlist.select(F.col(id_col).alias("w_id"), *[F.col(k).alias(f"w_{k}") for k in [*equal, *at_least]], F.col(c).alias("_cap"))
+    fits = F.lit(True)
+    for k, d in equal.items():
+        fits = fits & (F.col(f"w_{k}").isNull() | (F.col(f"w_{k}") == F.col(f"d_{d}")))
+    for k, d in at_least.items():
+        fits = fits & (F.col(f"w_{k}").isNull() | (F.col(f"d_{d}") >= F.col(f"w_{k}")))
+    # the groups of a few named columns against the criteria, never listings
+    met = groups.join(w, fits).withColumn("_b", F.when(F.col("_cap").isNull(), F.col("_top") + 1).otherwise(F.floor(F.col("_cap") / width).cast("long")))
+    below = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = cells.select(*keys, "_b", F.sum("_n").over(below).alias("_sum"), F.min("_lo").over(below).alias("_min"))
+    # the last filled step below the cap, by one pass over steps and caps together
+    asked = met.select(*keys, (F.col("_b") - F.lit(0.5)).alias("_at"), F.lit(None).cast("long").alias("_sum"), F.lit(None).cast("double").alias("_min"), "w_id")
+    known = sums.select(*keys, F.col("_b").cast("double").alias("_at"), F.col("_sum"), F.col("_min").cast("double"), F.lit(None).cast(w.schema["w_id"].dataType).alias("w_id"))
+    upto = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = known.unionByName(asked).withColumn("_n", F.last("_sum", True).over(upto)).withColumn("_lo", F.last("_min", True).over(upto)).where("w_id is not null and _n is not null").select("w_id", "_n", "_lo")
+    edge = met.where(F.col("_cap").isNotNull()).join(x, [*keys, "_b"]).where(F.col("_v") <= F.col("_cap")).groupBy("w_id").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").cast("double").alias("_lo"))
+    return whole.unionByName(edge).groupBy("w_id").agg(F.sum("_n").alias("n"), F.min("_lo").alias("best"))
+
+
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -43,26 +43,29 @@ def throttle_stream(events: DataFrame, key: str, ts: str, cooldown_s: int) -> Da
 
 
 def throttle(events: DataFrame, keys: list[str], ts: str, order: list[str], cooldown_s: int) -> DataFrame:
-    """Batch twin of the throttle: events of a key in time order pass greedily.
+    """Batch twin of the throttle: events of a key in time order pass greedily, at least ``cooldown_s`` after the last that passed.
 
-    Cut at every gap of a cooldown or more the runs of a key are independent, so no key is gathered whole; within a run the
-    greedy scan goes over sorted rows.
+    One sorted pass over each partition; what is kept from one batch to the next is the last key and the time of its last pass,
+    so a key of any size streams through. Null times never pass.
     """
-    w = Window.partitionBy(*keys).orderBy(ts, *order)
-    gap = F.unix_timestamp(ts) - F.lag(F.unix_timestamp(ts)).over(w)
-    runs = events.withColumn("_run", F.sum(F.when(gap < cooldown_s, 0).otherwise(1)).over(w))
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, *order])
-        last, keep = None, []
-        for t in pdf[ts]:
-            s = int(t.timestamp())
-            keep.append(last is None or s - last >= cooldown_s)
-            if keep[-1]:
-                last = s
-        return pdf[keep].drop(columns="_run")
-
-    return runs.groupBy(*keys, "_run").applyInPandas(scan, events.schema)
+    dealt = events.where(F.col(ts).isNotNull()).repartition(*keys).sortWithinPartitions(*keys, ts, *order)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last_key, last = None, None
+        for b in batches:
+            if not len(b):
+                continue
+            seconds = (b[ts].astype("datetime64[us]").astype("int64") // 1_000_000).tolist()
+            keep = []
+            for key, t in zip(zip(*(b[k].tolist() for k in keys)), seconds):
+                if key != last_key:
+                    last_key, last = key, None
+                keep.append(last is None or t - last >= cooldown_s)
+                if keep[-1]:
+                    last = t
+            yield b[keep]
+
+    return dealt.mapInPandas(scan, events.schema)
 
 
 def ttl_first(events: DataFrame, keys: list[str], ts: str, order: list[str], ttl_s: int) -> DataFrame:
