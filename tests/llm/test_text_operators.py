@@ -337,9 +337,11 @@ def test_language(spark, docs, empty):
     assert language.fit(train.limit(0)).labels == []
 
 
-def test_lm(spark, docs, empty):
+def test_lm(spark, docs, empty, monkeypatch):
     import random
 
+    monkeypatch.setattr(lm, "BATCH", 128)  # a small corpus, so small steps
+
     rng = random.Random(5)
     chain = ["alpha beta gamma delta", "one two three four five", "red green blue"]
     texts = [" ".join(rng.choice(chain) for _ in range(80)) for _ in range(60)]
