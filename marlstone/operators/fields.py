@@ -5,22 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words of fuels, gearboxes, conditions and places as they are mapped; what is not listed is UNKNOWN.
-FUELS = {"gasolina": "Gasoline", "gasoline": "Gasoline", "petrol": "Gasoline", "diesel": "Diesel", "gasoleo": "Diesel", "eletrico": "Electric", "electric": "Electric", "hibrido": "Hybrid", "hybrid": "Hybrid", "gpl": "LPG"}
-GEARBOXES = {"manual": "Manual", "automatica": "Automatic", "automatico": "Automatic", "automatic": "Automatic", "auto": "Automatic"}
-CONDITIONS = {"novo": "New", "new": "New", "usado": "Used", "used": "Used", "seminovo": "Nearly New"}
+#: Words of fuels, gearboxes and places as they are mapped; what is not listed is UNKNOWN.
+FUELS = {"gasolina": "Gasoline", "gasóleo": "Diesel", "diesel": "Diesel", "elétrico": "Electric", "electric": "Electric", "híbrido": "Hybrid", "hybrid": "Hybrid", "gpl": "LPG", "lpg": "LPG", "gnv": "CNG", "cng": "CNG"}
+GEARBOXES = {"automático": "Automatic", "automatic": "Automatic", "manual": "Manual", "automática": "Automatic", "cvt": "CVT", "tiptronic": "Tiptronic", "dsg": "DSG"}
 PLACES = {"Lisboa": "Lisbon", "Porto": "Oporto"}
 UNKNOWN = "Unknown"
 #: Accented letters and their plain ones.
 ACCENTED, PLAIN = "áàãâäéèêëíìîïóòõôöúùûüçñ", "aaaaaeeeeiiiiooooouuuucn"
 #: Keyword lists of text flags.
 FLAGS = {
-    "has_warranty": ("garantia", "warranty"), "has_service_history": ("revisões", "livro de revisões", "service history"), "single_owner": ("único dono", "unico dono", "one owner"),
-    "is_imported": ("importado", "imported"), "has_damage": ("acidentado", "danos", "damaged"), "accepts_trade": ("aceita retoma", "retoma", "trade"), "has_gps": ("gps", "navegação"),
-    "has_leather": ("pele", "leather"), "has_sunroof": ("teto abrir", "sunroof"), "is_urgent": ("urgente", "urgent"), "is_negotiable": ("negociável", "negociavel", "negotiable"),
+    "air_conditioning": ("ar condicionado", "ac", "climatização"), "power_steering": ("direção assistida", "direção hidráulica"), "abs": ("abs", "freios abs"),
+    "airbags": ("airbag", "airbags", "sacos de ar"), "cruise_control": ("cruise control", "controlo de velocidade"), "parking_sensors": ("sensores de estacionamento", "parking sensors"),
+    "navigation": ("gps", "navegação", "sistema de navegação"), "leather_seats": ("couro", "assentos de couro"), "alloy_wheels": ("jantes de liga", "alloy wheels"),
+    "sunroof": ("teto solar", "sunroof"), "automatic": ("automático", "automática", "cambio automático"),
+}
+GOOD_WORDS = ("excelente", "perfeito", "ótimo", "bom", "conservado", "cuidado", "novíssimo", "impecável", "funciona bem", "sem problemas")
+BAD_WORDS = ("mau", "ruim", "avariado", "com problemas", "precisa de reparação", "danificado", "com defeito", "não funciona", "com ferrugem")
+SPAM = ("urgente", "urgent", "oferta especial", "special offer", "promoção", "promotion", "desconto", "discount", "limitado", "limited", "última chance", "last chance")
+#: Words of a description as they are translated.
+TERMS = {
+    "gasolina": "gasoline", "gasóleo": "diesel", "elétrico": "electric", "híbrido": "hybrid", "gpl": "lpg", "gnv": "cng", "automático": "automatic",
+    "excelente": "excellent", "perfeito": "excellent", "ótimo": "good", "bom": "good", "regular": "fair", "aceitável": "fair", "ruim": "poor", "mau": "poor",
 }
-GOOD_WORDS, BAD_WORDS = ("excelente", "impecável", "perfeito", "novo", "excellent", "perfect"), ("avariado", "danos", "problema", "acidentado", "broken", "damaged")
-SPAM = ("clique aqui", "ganhe dinheiro", "oferta limitada", "click here")
 
 
 def price_clean(c: Column, most: float = 1e6) -> Column:
@@ -106,7 +112,7 @@ def fold_accents(c: Column) -> Column:
 def replace_terms(c: Column, terms: dict[str, str]) -> Column:
     """Whole words replaced one after another, in the order given."""
     for word, to in terms.items():
-        c = F.regexp_replace(c, rf"\b{word}\b", to)
+        c = F.regexp_replace(c, rf"(?U)\b{word}\b", to)
     return c
 
 
@@ -115,8 +121,8 @@ def without_spam(c: Column, phrases: tuple[str, ...] = SPAM) -> Column:
     t = F.when((c == F.upper(c)) & (c != F.lower(c)), F.lower(c)).otherwise(c)
     t = F.regexp_replace(t, r"(.)\1{2,}", "$1$1")
     for p in phrases:
-        t = F.regexp_replace(t, f"(?i){p}", "")
-    return F.trim(t)
+        t = F.regexp_replace(t, rf"(?U)\b{p}\b", "")
+    return t
 
 
 def flags(c: Column, lists: dict[str, tuple[str, ...]] = FLAGS) -> list[Column]:

@@ -17,7 +17,7 @@ BRANDS = {
 }
 FUEL_WORDS = {"gasolina": "gasolina", "diesel": "diesel", "elétrico": "eletrico", "eletrico": "eletrico", "híbrido": "hibrido", "hibrido": "hibrido", "gpl": "gpl", "gas natural": "gas natural"}
 #: Words that say nothing in a title.
-NOISE = ("vendo", "vende", "carro", "viatura", "oportunidade", "urgente", "nacional", "bom", "estado", "novo", "impecavel", "garantia")
+NOISE = r"\b(usado|novo|semi\s*novo|oportunidade|super\s*preco|nacional|garantia|financiamento|ipo|impecavel|como\s*novo|full\s*extras|aceito\s*retoma|[0-9]{4,6}\s*km|[0-9]{4}|eur)\b"
 
 
 def listing_filter(criteria: dict, equal=("make", "model"), like=("location",), at_least=None, at_most=None) -> Column:
@@ -104,11 +104,13 @@ def lookup(names: DataFrame, catalogue: DataFrame, name: str, entry: str, aliase
 
 def fingerprint(brand: Column, family: Column, performance: Column, fuel: Column, year: Column, km: Column, price: Column, title: Column) -> Column:
     """Sixteen hex digits of a digest of a vehicle's rounded attributes and the signature of its title."""
-    words = F.filter(F.split(fields.fold_accents(F.coalesce(title, F.lit(""))), "[^a-z0-9]+"), lambda w: (F.length(w) > 2) & ~w.isin(*NOISE))
+    plain = F.regexp_replace(fields.fold_accents(F.coalesce(title, F.lit(""))), NOISE, " ")
+    words = F.filter(F.split(plain, "[^a-z0-9]+"), lambda w: F.length(w) > 2)
     signature = F.array_join(F.slice(F.array_sort(F.array_distinct(words)), 1, 12), " ")
-    part = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    whole = lambda c, step: part(F.bround(c / step).cast("long"))
-    return F.substring(F.sha1(F.concat_ws("|", part(brand), part(family), part(performance), part(fuel), part(year), whole(km, 5000), whole(price, 250), signature)), 1, 16)
+    part = lambda c, other="": F.coalesce(c.cast("string"), F.lit(other))
+    whole = lambda c, step: F.bround(c / step).cast("long")
+    cost = part(whole(F.coalesce(price, F.lit(0.0)), 250))
+    return F.substring(F.sha1(F.concat_ws("|", part(brand), part(family), part(performance), part(fuel), part(year, "?"), part(whole(km, 5000), "?"), cost, signature)), 1, 16)
 
 
 def quarantine_copies(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

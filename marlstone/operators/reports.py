@@ -121,16 +121,17 @@ def funnel(df: DataFrame, stage: str, order: list[str], who: str) -> DataFrame:
     return g.select("step", "stage", "n", F.try_divide(F.col("n") * 100.0, F.lag("n").over(w)).alias("of_previous"), F.try_divide(F.col("n") * 100.0, F.first("n").over(w)).alias("of_first"))
 
 
-#: Commission by price and discounts by deals a month.
-COMMISSION = ((50_000, 0.02), (20_000, 0.03), (10_000, 0.04), (5_000, 0.05))
-VOLUME = ((50, 0.15), (20, 0.10), (10, 0.05))
+#: Rate, volume discount and least commission of a sale by kind of seller; sales a month that multiply the discount.
+COMMISSION = {"private": (0.025, 0.0, 5.0), "professional": (0.02, 0.1, 10.0), "premium": (0.015, 0.15, 15.0), "enterprise": (0.01, 0.2, 25.0)}
+OTHER_SELLER = (0.02, 0.0, 5.0)
+VOLUME = ((201, 2.0), (51, 1.5), (11, 1.0))
 
 
-def commission(price: Column, deals: Column, least: float = 100.0) -> Column:
-    """Share of the price by its tier (6 % below all), less the volume discount, at least ``least``."""
-    rate = F.coalesce(*[F.when(price >= p, r) for p, r in COMMISSION], F.lit(0.06))
-    off = F.coalesce(*[F.when(deals >= n, d) for n, d in VOLUME], F.lit(0.0))
-    return F.greatest(F.lit(least), price * rate * (1 - off))
+def commission(amount: Column, seller: Column, sales: Column) -> Column:
+    """Rate of the seller's kind, at least its least commission, less its discount times the factor of the month's sales."""
+    of = lambda k: F.coalesce(*[F.when(seller == s, rule[k]) for s, rule in COMMISSION.items()], F.lit(OTHER_SELLER[k]))
+    factor = F.coalesce(*[F.when(sales >= n, f) for n, f in VOLUME], F.lit(0.0))
+    return F.greatest(amount * of(0), of(2)) * (1 - of(1) * factor)
 
 
 def range_validation(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:

@@ -33,8 +33,8 @@ CASES = lambda c, m, other: f"case lower(trim({c})) " + " ".join(f"when '{k}' th
 _FUEL = {"A": " Diesel", "N": "Gasolina ", "R": "vapor"}
 on_raw("op_c05_fuel_map", lambda: F.coalesce(*[F.when(V("fuel_type") == k, v) for k, v in _FUEL.items()]), lambda x: fields.mapped(x, fields.FUELS),
        "case fuel_type " + " ".join(f"when '{k}' then '{v}'" for k, v in _FUEL.items()) + " end", CASES("x", fields.FUELS, "'Unknown'"), "fuel")
-on_raw("op_j15_lexicon_lookup", lambda: F.when(V("transmission") == "O", "Automatica").when(V("line") != 2, "manual"), lambda x: fields.mapped(x, fields.GEARBOXES, None),
-       "case when transmission = 'O' then 'Automatica' when line <> 2 then 'manual' end", CASES("x", fields.GEARBOXES, "null"), "gearbox")
+on_raw("op_j15_lexicon_lookup", lambda: F.when(V("transmission") == "O", "Automática").when(V("line") != 2, "manual"), lambda x: fields.mapped(x, fields.GEARBOXES, None),
+       "case when transmission = 'O' then 'Automática' when line <> 2 then 'manual' end", CASES("x", fields.GEARBOXES, "null"), "gearbox")
 on_raw("op_c06_engine", lambda: F.when(V("line") % 2 == 0, F.concat(_text(V("engine_size") * 1000 + 0.5), F.lit(" cc"))).otherwise(F.concat(F.lit("Motor "), V("engine_size").cast("string"), F.lit("L"))), fields.engine_clean,
        "case when line % 2 = 0 then floor(engine_size * 1000 + 0.5)::bigint || ' cc' else 'Motor ' || engine_size || 'L' end",
        "case when (case when y > 100 then y / 1000 else y end) between 0.5 and 10 then case when y > 100 then y / 1000 else y end end".replace("y", "regexp_extract(x, '([0-9]+(?:\\.[0-9]+)?)', 1)::double"), "litres", "litres")
@@ -46,10 +46,10 @@ on_raw("op_c09_words_clean", lambda: F.concat(F.lit("  "), V("version"), F.lit("
        "lower(regexp_replace(regexp_replace(trim(x), '\\s+', ' ', 'g'), '[^\\w\\s\\-.]', ' ', 'g'))", "words")
 on_raw("op_x05_number", lambda: F.concat(_text(V("mileage") / 1000), F.when(V("line") % 3 == 0, ".500,75").when(V("line") % 3 == 1, ",500.75").otherwise(".500")), clean.number,
        "floor(mileage / 1000)::bigint || case line % 3 when 0 then '.500,75' when 1 then ',500.75' else '.500' end", "floor(mileage / 1000) * 1000 + 500 + case when line % 3 = 2 then 0 else 0.75 end", "number", "number")
-on_raw("op_x06_terms", lambda: F.concat(F.lit("gasoleo "), V("version"), F.lit(" auto automatico")), lambda x: fields.replace_terms(x, {"gasoleo": "diesel", "auto": "automatic", "automatico": "automatic"}),
-       "'gasoleo ' || version || ' auto automatico'", "'diesel ' || version || ' automatic automatic'", "terms")
-on_raw("op_x07_spam", lambda: F.concat(F.upper("version"), F.lit("!!!! "), F.when(V("line") > 3, "CLIQUE AQUI").otherwise("clique aqui zzz")), fields.without_spam,
-       "upper(version) || '!!!! ' || case when line > 3 then 'CLIQUE AQUI' else 'clique aqui zzz' end", "case when line > 3 then lower(version) || '!!' else upper(version) || '!!  zz' end", "kept")
+on_raw("op_x06_terms", lambda: F.concat(F.lit("gasóleo "), V("version"), F.lit(" automático bombom bom")), lambda x: fields.replace_terms(x, fields.TERMS),
+       "'gasóleo ' || version || ' automático bombom bom'", "'diesel ' || version || ' automatic bombom good'", "terms")
+on_raw("op_x07_spam", lambda: F.concat(F.upper("version"), F.lit("!!!! "), F.when(V("line") > 3, "LAST CHANCE").otherwise("urgente zzz")), fields.without_spam,
+       "upper(version) || '!!!! ' || case when line > 3 then 'LAST CHANCE' else 'urgente zzz' end", "case when line > 3 then lower(version) || '!! ' else upper(version) || '!!  zz' end", "kept")
 on_raw("op_x18_slug", lambda: F.concat(F.lit("Ã "), V("version"), F.lit(" -- é #1 "), V("line").cast("string")), fields.slug, "'Ã ' || version || ' -- é #1 ' || line", "'a-' || replace(lower(version), ' ', '-') || '-e-1-' || line", "slug")
 on_raw("op_x18_truncate", lambda: V("version"), lambda x: fields.truncated(x, 20), "version", "case when length(x) > 20 then substr(x, 1, 17) || '...' else x end", "short")
 on_raw("op_x20_timestamp", lambda: F.when(V("line") % 3 == 0, F.unix_timestamp("last_seen").cast("string")).when(V("line") % 3 == 1, F.date_format("last_seen", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(V("line") % 3 == 2, F.date_format("last_seen", "yyyy-MM-dd")),
@@ -77,7 +77,7 @@ on_table("op_x09_text_checks", "documents", lambda df: df.select("doc_id", field
  len(list_distinct(string_split(lower(t), ''))) >= 10 as varied, regexp_matches(t, '[0-9]{9}|[^\s@]+@[^\s@]+\.[a-z]') as has_contact from d)
 select *, (long_enough::int + short_enough::int + enough_words::int + varied::int + has_contact::int) / 5 as score from c""", "score")
 _count = lambda words: " + ".join(f"contains(t, '{w}')::int" for w in words)
-on_table("op_x10_tone", "documents", lambda df: df.groupBy("lang", fields.tone(F.concat("text", F.when(V("doc_id") % 5 == 0, " perfect").when(V("doc_id") % 5 == 1, " broken").otherwise(""))).alias("tone")).agg(F.count(F.lit(1)).alias("n")),
-         f"""with d as (select lang, lower(coalesce(text || case doc_id % 5 when 0 then ' perfect' when 1 then ' broken' else '' end, '')) as t from documents), s as (select lang, {_count(GOOD_WORDS)} as g, {_count(BAD_WORDS)} as b from d)
+on_table("op_x10_tone", "documents", lambda df: df.groupBy("lang", fields.tone(F.concat("text", F.when(V("doc_id") % 5 == 0, " perfeito").when(V("doc_id") % 5 == 1, " avariado").otherwise(""))).alias("tone")).agg(F.count(F.lit(1)).alias("n")),
+         f"""with d as (select lang, lower(coalesce(text || case doc_id % 5 when 0 then ' perfeito' when 1 then ' avariado' else '' end, '')) as t from documents), s as (select lang, {_count(GOOD_WORDS)} as g, {_count(BAD_WORDS)} as b from d)
 select lang, case when g / nullif(g + b, 0) > 0.6 then 'positive' when g / nullif(g + b, 0) < 0.4 then 'negative' else 'neutral' end as tone, count(*) as n from s group by all""")
 on_table("op_x15_url", "pages", lambda df: df.select("page_id", fields.valid_url(V("url")).alias("ok")), r"select page_id, coalesce(regexp_matches(url, '^https?://[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+(:[0-9]+)?([/?#]\S*)?$'), false) as ok from pages")

@@ -59,8 +59,8 @@ on_listings("op_d01_union_all", lambda df: df.where("price < 3000").select("make
             " select part, make, count(*) as n, sum(price) as value from (select make, price, 'cheap' as part from listings where price < 3000 union all select make, price, 'worn' from listings where mileage > 190000) group by all", "value")
 
 # --- identity
-_SIG = "array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower('Vendo carro ' || version || ' urgente'), '[^a-z0-9]+'), lambda z: length(z) > 2 and z not in {})))[1:12], ' ')".format(matching.NOISE)
-on_listings("op_d09_fingerprint", lambda df: df.select(*ROW_ID, matching.fingerprint(V("make"), V("model"), F.lit(None).cast("string"), V("fuel_type"), V("year"), V("mileage"), V("price"), F.concat(F.lit("Vendo carro "), "version", F.lit(" urgente"))).alias("fp")),
+_SIG = f"array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower('Usado ' || version || ' 2015 nacional'), '{matching.NOISE}', ' ', 'g'), '[^a-z0-9]+'), lambda z: length(z) > 2)))[1:12], ' ')"
+on_listings("op_d09_fingerprint", lambda df: df.select(*ROW_ID, matching.fingerprint(V("make"), V("model"), F.lit(None).cast("string"), V("fuel_type"), V("year"), V("mileage"), V("price"), F.concat(F.lit("Usado "), "version", F.lit(" 2015 nacional"))).alias("fp")),
             f" select {ID}, substr(sha1(concat_ws('|', make, model, '', fuel_type, year, round_even(mileage / 5000, 0)::bigint, round_even(price / 250, 0)::bigint, {_SIG})), 1, 16) as fp from listings")
 on_listings("op_d10_quarantine", lambda df: matching.quarantine_copies(df, ["make", "model", "year", "location"], [V("date_scraped"), V("order_id"), V("line"), V("price"), V("seller"), V("version"), V("mileage")]).groupBy("status", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("value")),
             ", r as (select *, row_number() over (partition by make, model, year, location order by date_scraped, order_id, line, price, seller, version, mileage) as k from listings) select case when k = 1 then 'primary' else 'quarantine' end as status, source, count(*) as n, sum(price) as value from r group by all", "value")

@@ -51,8 +51,8 @@ STAGES = ["view", "click", "signup", "purchase"]
 on_table("op_a44_funnel", "events", lambda df: reports.funnel(df, "event_type", STAGES, "user_id"),
          "with s as (select unnest(range(0, 4))::int as step), n as (select step, ['view', 'click', 'signup', 'purchase'][step + 1] as stage, (select count(distinct user_id) from events where event_type = ['view', 'click', 'signup', 'purchase'][step + 1]) as n from s) "
          "select step, stage, n, n * 1e2 / nullif(lag(n) over (order by step), 0) as of_previous, n * 1e2 / nullif(first(n) over (order by step), 0) as of_first from n", "of_previous of_first")
-on_listings("op_a45_commission", lambda df: df.select(*ROW_ID, reports.commission(V("price"), V("line") * 9).alias("commission")),
-            f" select {ID}, greatest(100e0, price * case when price >= 50000 then 0.02e0 when price >= 20000 then 0.03e0 when price >= 10000 then 0.04e0 when price >= 5000 then 0.05e0 else 0.06e0 end * (1 - case when line * 9 >= 50 then 0.15e0 when line * 9 >= 20 then 0.1e0 when line * 9 >= 10 then 0.05e0 else 0e0 end)) as commission from listings", "commission")
+on_listings("op_a45_commission", lambda df: df.select(*ROW_ID, reports.commission(V("price") / 10, F.when(V("line") == 1, "private").when(V("line") == 2, "professional").when(V("line") == 3, "premium").when(V("line") == 4, "enterprise").otherwise("x"), V("engine_size") * 60).alias("commission")),
+            f" select {ID}, greatest(price / 10 * case line when 1 then 0.025e0 when 2 then 0.02e0 when 3 then 0.015e0 when 4 then 0.01e0 else 0.02e0 end, case line when 1 then 5e0 when 2 then 10e0 when 3 then 15e0 when 4 then 25e0 else 5e0 end) * (1 - case line when 2 then 0.1e0 when 3 then 0.15e0 when 4 then 0.2e0 else 0e0 end * case when engine_size * 60 >= 201 then 2e0 when engine_size * 60 >= 51 then 1.5e0 when engine_size * 60 >= 11 then 1e0 else 0e0 end) as commission from listings", "commission")
 _BOUNDS = {"price": (0, 1e6), "mileage": (0, 150000), "year": (1900, 2001), "engine_size": (0.5, 10)}
 on_listings("op_n03_range_validation", lambda df: reports.range_validation(df.withColumn("mileage", F.when(V("line") != 3, V("mileage"))), _BOUNDS),
             " " + " union all ".join(f"select '{c}' as name, min({v})::double as min, max({v})::double as max, count(*) filter ({v} is null) as missing, min({v}) >= {lo} and max({v}) <= {hi} as ok from listings" for c, (lo, hi) in _BOUNDS.items() for v in [f"(case when line <> 3 then {c} end)" if c == "mileage" else c]), "min max")
