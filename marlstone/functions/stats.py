@@ -35,19 +35,6 @@ def pct_rank(c: str, partition: list[str] | None = None) -> Column:
     return F.when(F.col(c).isNotNull(), (F.rank().over(by.orderBy(F.col(c).asc_nulls_last())) + (F.count(c).over(peers) - 1) / 2.0) / F.count(c).over(by))
 
 
-def exclusive_quartiles(c: str) -> tuple[Column, Column]:
-    """First and third quartile at positions i * (n + 1) / 4 of the sorted values (clamped to the ends), as aggregates."""
-    a = F.array_sort(F.collect_list(c))
-    return _exclusive(a, 1), _exclusive(a, 3)
-
-
-def _exclusive(a: Column, i: int) -> Column:
-    n = F.size(a)
-    j = F.least(F.greatest(F.floor(F.lit(i) * (n + 1) / 4), F.lit(1)), n - 1).cast("int")
-    delta = F.lit(i) * (n + 1) - j * 4
-    return (F.get(a, j - 1) * (4 - delta) + F.get(a, j) * delta) / 4
-
-
 def zscore(c: str, w: WindowSpec) -> Column:
     return F.try_divide(F.col(c) - F.avg(c).over(w), F.stddev_samp(c).over(w))
 

@@ -100,8 +100,8 @@ def scale(df: DataFrame, c: str) -> DataFrame:
 def target_encode(df: DataFrame, key: str, y: str, strength: int = 20) -> DataFrame:
     """Smoothed group means; groups join back as a small table."""
     g = df.groupBy(key).agg(F.sum(y).alias("_s"), F.count(y).alias("_n"))
-    prior = F.sum("_s").over(Window.partitionBy()) / F.sum("_n").over(Window.partitionBy())
-    return g.select(key, ((F.col("_s") + prior * strength) / (F.col("_n") + strength)).alias("encoded"), F.col("_n").alias("n"))
+    whole = g.agg((F.sum("_s") / F.sum("_n")).alias("_prior"))  # one row
+    return g.crossJoin(F.broadcast(whole)).select(key, ((F.col("_s") + F.col("_prior") * strength) / (F.col("_n") + strength)).alias("encoded"), F.col("_n").alias("n"))
 
 
 def text_clean(c: Column) -> Column:

@@ -67,7 +67,11 @@ def watchlist_counts(df: DataFrame, watchlist: DataFrame, id_col: str, equal: di
     known = sums.select(*keys, F.col("_b").cast("double").alias("_at"), F.col("_sum"), F.col("_min").cast("double"), F.lit(None).cast(w.schema["w_id"].dataType).alias("w_id"))
     upto = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = known.unionByName(asked).withColumn("_n", F.last("_sum", True).over(upto)).withColumn("_lo", F.last("_min", True).over(upto)).where("w_id is not null and _n is not null").select("w_id", "_n", "_lo")
-    edge = met.where(F.col("_cap").isNotNull()).join(x, [*keys, "_b"]).where(F.col("_v") <= F.col("_cap")).groupBy("w_id").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").cast("double").alias("_lo"))
+    own = x.select(*[F.col(k).alias(f"x_{k}") for k in keys], F.col("_b").alias("x_b"), "_v")
+    same = F.col("_b") == F.col("x_b")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"x_{k}"))
+    edge = met.where(F.col("_cap").isNotNull()).join(own, same).where(F.col("_v") <= F.col("_cap")).groupBy("w_id").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").cast("double").alias("_lo"))
     return whole.unionByName(edge).groupBy("w_id").agg(F.sum("_n").alias("n"), F.min("_lo").alias("best"))
 
 

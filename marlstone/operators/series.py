@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import stats
+from marlstone.sources.shared import fresh_path
 
 
 def direction(c: Column, limit: float = 0.0) -> Column:
@@ -73,10 +74,12 @@ def volatility(df: DataFrame, keys: list[str], c: str) -> DataFrame:
 
 
 def frequency_encode(df: DataFrame, c: str, k: int = 10) -> DataFrame:
-    """Count of the value, rarity against the most frequent one, and membership of the top k; counts join back as a small table."""
+    """Count of the value, rarity against the most frequent one, and membership of the top k; counts join back, sized by Spark."""
     g = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("freq"))
-    g = g.withColumn("rarity", 1 - F.col("freq") / F.max("freq").over(Window.partitionBy())).withColumn("is_top", F.row_number().over(Window.orderBy(F.desc("freq"), c)) <= k)
-    return df.join(g, c, "left")
+    most = g.agg(F.max("freq").alias("_most"))  # one row
+    top = g.orderBy(F.desc("freq"), c).limit(k).select(c, F.lit(True).alias("_top"))  # k rows
+    g = g.crossJoin(F.broadcast(most)).join(F.broadcast(top), c, "left")
+    return df.join(g.select(c, "freq", (1 - F.col("freq") / F.col("_most")).alias("rarity"), F.coalesce("_top", F.lit(False)).alias("is_top")), c, "left")
 
 
 def comparable_count(df: DataFrame, keys: list[str], year: str, reach: int = 2) -> DataFrame:
@@ -89,11 +92,26 @@ def comparable_count(df: DataFrame, keys: list[str], year: str, reach: int = 2)
     return df.join(g.withColumn("comparables", F.sum("_n").over(w) - 1).drop("_n"), [*keys, year])
 
 
+def positions(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``position`` from 1 in the order of the columns, and ``total``.
+
+    Rows are dealt by sampled splitters of the order and written so; each part is numbered on its own and moved by the rows of
+    the parts before it, so no task orders all rows.
+    """
+    spark, path = df.sparkSession, fresh_path(df.sparkSession)
+    df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    x = spark.read.parquet(path)
+    parts = x.groupBy("_part").agg(F.count(F.lit(1)).alias("_k"))
+    before = F.coalesce(F.sum("_k").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over parts
+    moved = parts.select("_part", before.alias("_before"), F.sum("_k").over(Window.partitionBy()).alias("total"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return x.withColumn("_own", own).join(F.broadcast(moved), "_part").withColumn("position", F.col("_own") + F.col("_before")).drop("_own", "_before", "_part")
+
+
 def percentile_grade(df: DataFrame, score: Column, *order: str) -> DataFrame:
-    """Whole-table order by score over aggregates or bounded tables: percentile, ten-point score, grade."""
-    x = df.withColumn("ratio", score)
-    pos = F.row_number().over(Window.orderBy("ratio", *order))
-    x = x.withColumn("pct", pos / F.count(F.lit(1)).over(Window.partitionBy()) * 100)
+    """Whole-table order by score: percentile and grade."""
+    x = positions(df.withColumn("ratio", score), "ratio", *order)
+    x = x.withColumn("pct", F.col("position") / F.col("total") * 100).drop("position", "total")
     return x.withColumn("grade", F.when(F.col("pct") >= 99, "A+").when(F.col("pct") >= 95, "A").when(F.col("pct") >= 85, "B").when(F.col("pct") >= 60, "C").otherwise("D"))
 
 
