@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import buckets
+from marlstone.functions.quantiles import positions, whole_quantiles
 
 
 def number(c: Column) -> Column:
@@ -48,13 +49,18 @@ def price_duplicates(df: DataFrame, keys: list[str], c: str, tolerance: float =
 
 def impute(df: DataFrame, columns: list[str], how: str = "median") -> DataFrame:
     """Fill nulls from one row of statistics."""
-    make = {"median": lambda c: F.percentile(c, F.lit(0.5)), "mean": F.avg, "zero": lambda c: F.lit(0.0), "mode": lambda c: F.mode(c, True)}[how]
-    x = buckets.with_scalars(df, *[make(c).alias(f"_{c}") for c in columns])
+    if how == "median":
+        x = df
+        for c in columns:
+            x = x.crossJoin(F.broadcast(whole_quantiles(df, c, {f"_{c}": 0.5})))
+    else:
+        make = {"mean": F.avg, "zero": lambda c: F.lit(0.0), "mode": lambda c: F.mode(c, True)}[how]
+        x = buckets.with_scalars(df, *[make(c).alias(f"_{c}") for c in columns])
     return x.select(*[F.coalesce(c, f"_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def iqr_flags(df: DataFrame, c: str, k: float = 1.5) -> DataFrame:
-    x = buckets.with_scalars(df, F.percentile(c, F.lit(0.25)).alias("_q1"), F.percentile(c, F.lit(0.75)).alias("_q3"))
+    x = df.crossJoin(F.broadcast(whole_quantiles(df, c, {"_q1": 0.25, "_q3": 0.75})))
     reach = (F.col("_q3") - F.col("_q1")) * k
     return x.withColumn("iqr_outlier", (F.col(c) < F.col("_q1") - reach) | (F.col(c) > F.col("_q3") + reach)).drop("_q1", "_q3")
 
@@ -65,8 +71,8 @@ def z_flags(df: DataFrame, c: str, limit: float = 3.0) -> DataFrame:
 
 
 def mad_flags(df: DataFrame, c: str, limit: float = 3.5) -> DataFrame:
-    x = buckets.with_scalars(df, F.percentile(c, F.lit(0.5)).alias("_med"))
-    x = buckets.with_scalars(x.withColumn("_d", F.abs(F.col(c) - F.col("_med"))), F.percentile("_d", F.lit(0.5)).alias("_mad"))
+    x = df.crossJoin(F.broadcast(whole_quantiles(df, c, {"_med": 0.5}))).withColumn("_d", F.abs(F.col(c) - F.col("_med")))
+    x = x.crossJoin(F.broadcast(whole_quantiles(x, "_d", {"_mad": 0.5})))
     return x.withColumn("mad_outlier", 0.6745 * F.col("_d") / (F.col("_mad") + 1e-8) > limit).drop("_med", "_d", "_mad")
 
 
@@ -81,20 +87,21 @@ def consistency(df: DataFrame, asof_year: int) -> DataFrame:
 
 def label_encode(df: DataFrame, c: str) -> DataFrame:
     """Codes 0.. in sorted order; the distinct values are numbered, then joined back."""
-    codes = df.where(F.col(c).isNotNull()).select(c).distinct().withColumn(f"{c}_code", F.row_number().over(Window.orderBy(c)) - 1)
+    codes = df.where(F.col(c).isNotNull()).select(c).distinct().transform(lambda d: positions(d, c)).select(c, (F.col("position") - 1).cast("int").alias(f"{c}_code"))
     return df.join(codes, c, "left")
 
 
 def scale(df: DataFrame, c: str) -> DataFrame:
-    x = buckets.with_scalars(df, F.avg(c).alias("_m"), F.stddev_samp(c).alias("_s"), F.min(c).alias("_lo"), F.max(c).alias("_hi"), F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    x = buckets.with_scalars(df, F.avg(c).alias("_m"), F.stddev_samp(c).alias("_s"), F.min(c).alias("_lo"), F.max(c).alias("_hi"))
+    x = x.crossJoin(F.broadcast(whole_quantiles(df, c, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75})))
     v = F.col(c)
     return x.withColumns(
         {
             "standard": (v - F.col("_m")) / (F.col("_s") + 1e-8),
             "minmax": F.try_divide(v - F.col("_lo"), F.col("_hi") - F.col("_lo")),
-            "robust": F.try_divide(v - F.get("_q", F.lit(1)), F.get("_q", F.lit(2)) - F.get("_q", F.lit(0))),
+            "robust": F.try_divide(v - F.col("_q2"), F.col("_q3") - F.col("_q1")),
         }
-    ).drop("_m", "_s", "_lo", "_hi", "_q")
+    ).drop("_m", "_s", "_lo", "_hi", "_q1", "_q2", "_q3")
 
 
 def target_encode(df: DataFrame, key: str, y: str, strength: int = 20) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import buckets, stats
+from marlstone.functions.quantiles import whole_quantiles
 
 
 def known(df: DataFrame, *keys: str) -> DataFrame:
@@ -20,11 +21,12 @@ def group_aggregate(df: DataFrame, keys: list[str], columns: dict[str, list[str]
 
 
 def basic_stats(df: DataFrame, c: str) -> DataFrame:
-    q1, q3 = stats.quantile(c, 0.25), stats.quantile(c, 0.75)
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"), F.avg(c).alias("mean"), stats.quantile(c, 0.5).alias("median"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
-        q1.alias("q25"), q3.alias("q75"), (q3 - q1).alias("iqr"), stats.skew(c).alias("skew"), stats.kurt(c).alias("kurtosis"),
-    )
+    """One row of moments, which partial sums give, and quartiles, which counted values give."""
+    moments = df.agg(
+        F.count(F.lit(1)).alias("rows"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), stats.skew(c).alias("skew"), stats.kurt(c).alias("kurtosis")
+    )
+    quartiles = whole_quantiles(df, c, {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    return moments.crossJoin(F.broadcast(quartiles)).withColumn("iqr", F.col("q75") - F.col("q25"))
 
 
 def describe_by(df: DataFrame, keys: list[str], c: str) -> DataFrame:
@@ -32,11 +34,11 @@ def describe_by(df: DataFrame, keys: list[str], c: str) -> DataFrame:
 
 
 def percentiles(df: DataFrame, c: str, levels=(10, 25, 50, 75, 90, 95, 99)) -> DataFrame:
-    return df.agg(*[stats.quantile(c, p / 100).alias(f"p{p}") for p in levels])
+    return whole_quantiles(df, c, {f"p{p}": p / 100 for p in levels})
 
 
 def price_ranges(df: DataFrame, c: str) -> DataFrame:
-    return df.agg(F.min(c).alias("budget_from"), stats.quantile(c, 0.33).alias("mid_from"), stats.quantile(c, 0.66).alias("premium_from"), F.max(c).alias("top"))
+    return whole_quantiles(df, c, {"budget_from": 0.0, "mid_from": 0.33, "premium_from": 0.66, "top": 1.0})
 
 
 def ranked(df: DataFrame, by: list[Column], out: str) -> DataFrame:

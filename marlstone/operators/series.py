@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import stats
-from marlstone.sources.shared import fresh_path
+from marlstone.functions.quantiles import positions
 
 
 def direction(c: Column, limit: float = 0.0) -> Column:
@@ -92,22 +92,6 @@ def comparable_count(df: DataFrame, keys: list[str], year: str, reach: int = 2)
     return df.join(g.withColumn("comparables", F.sum("_n").over(w) - 1).drop("_n"), [*keys, year])
 
 
-def positions(df: DataFrame, *order: str) -> DataFrame:
-    """``df`` with ``position`` from 1 in the order of the columns, and ``total``.
-
-    Rows are dealt by sampled splitters of the order and written so; each part is numbered on its own and moved by the rows of
-    the parts before it, so no task orders all rows.
-    """
-    spark, path = df.sparkSession, fresh_path(df.sparkSession)
-    df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
-    x = spark.read.parquet(path)
-    parts = x.groupBy("_part").agg(F.count(F.lit(1)).alias("_k"))
-    before = F.coalesce(F.sum("_k").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over parts
-    moved = parts.select("_part", before.alias("_before"), F.sum("_k").over(Window.partitionBy()).alias("total"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return x.withColumn("_own", own).join(F.broadcast(moved), "_part").withColumn("position", F.col("_own") + F.col("_before")).drop("_own", "_before", "_part")
-
-
 def percentile_grade(df: DataFrame, score: Column, *order: str) -> DataFrame:
     """Whole-table order by score: percentile and grade."""
     x = positions(df.withColumn("ratio", score), "ratio", *order)

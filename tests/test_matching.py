@@ -1,7 +1,8 @@
 from difflib import SequenceMatcher
 from itertools import combinations
 
-from marlstone.operators import bundles, clean, fields, joins, matching, series
+from marlstone.functions import quantiles
+from marlstone.operators import bundles, clean, fields, joins, matching
 from marlstone.streaming import alerts, jobs
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def test_throttle_is_greedy_over_batches(spark):
 
 def test_positions_over_many_parts(spark):
     df = spark.range(1000).select(F.pmod(F.xxhash64("id"), F.lit(97)).alias("v"), "id")
-    got = [(r["v"], r["id"], r["position"], r["total"]) for r in series.positions(df, "v", "id").collect()]
+    got = [(r["v"], r["id"], r["position"], r["total"]) for r in quantiles.positions(df, "v", "id").collect()]
     want = sorted((r["v"], r["id"]) for r in df.collect())
     assert sorted(got, key=lambda x: x[2]) == [(v, i, k, 1000) for k, (v, i) in enumerate(want, 1)]
 
