@@ -27,8 +27,9 @@ def similarity(t: str = "t", c: str = "c") -> Column:
     """Product of penalties for each way in which two listings (structs year, km, rank, fuel, gearbox) differ."""
     d = lambda f: F.abs(F.col(f"{t}.{f}") - F.col(f"{c}.{f}"))
     differs = lambda f: ~F.col(f"{t}.{f}").eqNullSafe(F.col(f"{c}.{f}"))
-    year = F.coalesce(F.greatest(F.lit(0.25), 1.0 - d("year") * 0.14), F.lit(0.75))
-    km = F.coalesce(F.greatest(F.lit(0.35), 1.0 - d("km") / 200000.0), F.lit(0.85))
+    # greatest() skips nulls, so what is missing is asked for first
+    year = F.when(d("year").isNull(), 0.75).otherwise(F.greatest(F.lit(0.25), 1.0 - d("year") * 0.14))
+    km = F.when(d("km").isNull(), 0.85).otherwise(F.greatest(F.lit(0.35), 1.0 - d("km") / 200000.0))
     rank = F.when(differs("rank"), F.greatest(F.lit(0.3), 0.85 - 0.15 * F.coalesce(d("rank"), F.lit(0)))).otherwise(1.0)
     gearbox = F.when(F.col(f"{t}.gearbox") != F.col(f"{c}.gearbox"), 0.85).otherwise(1.0)
     return year * km * rank * F.when(differs("fuel"), 0.7).otherwise(1.0) * gearbox
