@@ -65,9 +65,10 @@ def test_realism(spark):
 
 
 EVIDENCE = [
-    ("10.500 €", 10500, "EUR", "total", None), ("desde 199 €/mês", 199, "EUR", "monthly", "preco_monthly_nao_retail"), ("entrada 2.500 €", 2500, "EUR", "entry", "preco_entry_nao_retail"),
-    ("licitação inicial 1 €", 1, "EUR", "auction_start", "preco_auction_start_nao_retail"), ("Peugeot 5008", None, None, "unknown", "preco_sem_evidencia_monetaria"), ("", None, None, "unknown", "preco_ausente"),
-    (None, None, None, "unknown", "preco_ausente"), ("€ 12.345,67", 12345.67, "EUR", "total", None), ("$ 9,999.50", 9999.5, "USD", "total", "moeda_nao_eur"), ("17500", 17500, "EUR", "total", None), ("-5 €", -5, "EUR", "total", "preco_zero_ou_negativo"),
+    ("8.250 €", 8250, "EUR", "total", None), ("a partir de 149 EUR por mês", 149, "EUR", "monthly", "preco_monthly_nao_retail"), ("1.800 € sinal", 1800, "EUR", "entry", "preco_entry_nao_retail"),
+    ("lance inicial 2 €", 2, "EUR", "auction_start", "preco_auction_start_nao_retail"), ("current bid £ 3,100", 3100, "GBP", "auction_current", "moeda_nao_eur"), ("Renault 5 turbo", None, None, "unknown", "preco_sem_evidencia_monetaria"),
+    ("", None, None, "unknown", "preco_ausente"), (None, None, None, "unknown", "preco_ausente"), ("€ 12.345,67", 12345.67, "EUR", "total", None), ("$ 9,999.50", 9999.5, "USD", "total", "moeda_nao_eur"),
+    ("17500", 17500, "EUR", "total", None), ("-5 €", -5, "EUR", "total", "preco_zero_ou_negativo"),
 ]
 
 
@@ -79,7 +80,7 @@ def test_price_evidence(spark, raw, value, currency, kind, rejection):
 
 def test_opportunity_labels(spark):
     label = lambda *a: one(spark, rules.opportunity_label(*map(val, a)))
-    assert label(36900, 34728, 32000, 37500, 0.6, 9) == "dentro_do_mercado"
+    assert label(20500, 20000, 18500, 21500, 0.6, 9) == "dentro_do_mercado"
     assert label(20000, None, None, None, 0.6, 9) == label(20000, 21000, None, None, 0.6, 0) == "dados_insuficientes"
     assert label(17000, 20000, 18500, 21500, 0.6, 9) == "excelente_oportunidade" and label(17000, 20000, 18500, 21500, 0.4, 9) == "boa_oportunidade"
     assert label(17000, 20000, 18500, 21500, 0.6, 2) == label(12000, 20000, 18500, 21500, 0.6, 9) == label(20000, 20000, 18500, 21500, 0.1, 9) == "requer_validacao"

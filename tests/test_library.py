@@ -8,21 +8,26 @@ from marlstone.streaming import alerts
 from pyspark.sql import functions as F
 
 
-@pytest.mark.parametrize("raw,want", [("1.234,56", 1234.56), ("1,234.56", 1234.56), ("120.000", 120000.0), ("1.9", 1.9), ("12,5", 12.5), ("120 000", 120000.0), ("12.500 €", 12500.0), ("sob consulta", None), (None, None)])
+NUMBERS = {"7.004,5": 7004.5, "7,004.5": 7004.5, "3.000.250": 3000250.0, "88,125": 88125.0, "0.75": 0.75, "41,6 %": 41.6, "EUR 9 950": 9950.0, "n/a": None, None: None}
+
+
+@pytest.mark.parametrize("raw,want", NUMBERS.items())
 def test_number(spark, raw, want):
     assert spark.createDataFrame([(raw,)], "s string").select(clean.number(F.col("s"))).first()[0] == want
 
 
 def test_market_median(spark):
-    cases = {"a": ([10e3, 11e3, 12e3, 13e3], 11500), "b": ([100, 200], None), "c": ([10e3, 11e3, 12e3, 13e3, 14e3, 15e3, 16e3, 1e6], 13000), "d": ([500, 1000, 1500, 50000], 1250), "e": ([0, -5, 10e3, 12e3, 14e3], 12000)}
+    cases = {
+        "even": ([4, 1, 3, 2], 2.5), "few": ([7, 9], None), "far": ([21, 22, 23, 24, 25, 26, 27, 900], 24), "wide": ([1, 1, 2, 2, 60], 2), "signs": ([-3, 0, 5, 6, 8], 6), "ties": ([5] * 6 + [400], 5),
+    }
     df = spark.createDataFrame([(k, float(p)) for k, (ps, _) in cases.items() for p in ps], "k string, p double")
     assert {r["k"]: r["market_median"] for r in valuation.market_median(df, ["k"], "p").collect()} == {k: w for k, (_, w) in cases.items()}
 
 
 def test_deal_score(spark):
-    df = spark.createDataFrame([(10e3, 10e3, 60e3), (9e3, 10e3, 60e3), (5e3, 10e3, 60e3), (12e3, 10e3, 60e3)], "p double, m double, k double")
-    got = [r[0] for r in df.select(F.round(valuation.deal_score(F.col("p"), F.col("m"), F.col("k")), 6)).collect()]
-    assert got == [5.3, 6.8, 10.0, 2.3]
+    given = [(8e3, 8e3, 1e5), (7.6e3, 8e3, 1e5), (7.6e3, 8e3, 2e4), (16e3, 8e3, 1e5), (8e3, 8e3, 250e3), (8e3, 8e3, 140e3)]
+    got = [r[0] for r in spark.createDataFrame(given, "p double, m double, k double").select(F.round(valuation.deal_score(F.col("p"), F.col("m"), F.col("k")), 6)).collect()]
+    assert got == [5.0, 5.75, 6.75, 0.0, 3.0, 4.0]
 
 
 def test_moments_and_bins(spark):
