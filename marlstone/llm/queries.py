@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontaminate, html, language, lm, mixing, quality, secrets, simhash, suffix_dedup, urls
+from marlstone.llm import decontaminate, html, language, lm, manifest, mixing, quality, secrets, simhash, suffix_dedup, urls
 from marlstone.llm.common import materialise
 
 
@@ -73,8 +73,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "hits.n_words", n_hit.alias("n_hit"), F.size("hits.items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    picked = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return manifest.verified(manifest.manifest(docs, tampered={"text": manifest.lower_cased(docs["text"])}, when=picked))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_secrets, op3_mixing, op4_url_filter, op5_html_extraction, op6_simhash, op7_quality, op8_lm_score, op9_language_id, op10_decontamination)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_secrets, op3_mixing, op4_url_filter, op5_html_extraction, op6_simhash, op7_quality, op8_lm_score, op9_language_id, op10_decontamination, op11_manifest)}
 
 
 _OP1 = """
@@ -162,5 +168,46 @@ from d left join pos using (doc_id) left join it using (doc_id)
 """
 
 
+def _op11(levels: int = 6, top_levels: int = 4) -> str:
+    """Towers of ``levels`` runs a source (16**6 documents) and ``top_levels`` over the sources, and a walk up them for each document."""
+    field = lambda c: f"coalesce(octet_length(encode({c}::varchar))::varchar || ':' || {c}::varchar, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = []
+    for name, n in (("n", levels), ("t", top_levels)):
+        if name == "t":
+            parts.append(f"t0 as (select '' as s, row_number() over (order by s) - 1 as i, s as name, h, count(*) over () as c from n{levels})")
+        for k in range(n):
+            parts.append(
+                f"{name}{k + 1} as (select s, i // 16 as i, case when max(c) = 1 then any_value(h) else sha256(string_agg(h, '' order by i)) end as h, (max(c) + 15) // 16 as c from {name}{k} group by s, i // 16)"
+            )
+    walk, at = [], "x0"
+    for k, name in enumerate([f"n{k}" for k in range(levels)] + [f"t{k}" for k in range(top_levels)]):
+        if name == "t0":
+            walk.append(f"top as (select x.key, '' as s, t0.i, x.proof, x.f from {at} x join t0 on t0.name = x.s)")
+            at = "top"
+        walk.append(
+            f"s{k} as (select x.key, coalesce(string_agg(n.h, '' order by n.i) filter (n.i < x.i), '') as l, coalesce(string_agg(n.h, '' order by n.i) filter (n.i > x.i), '') as r, max(n.c) as c"
+            f" from {at} x join {name} n on n.s = x.s and n.i // 16 = x.i // 16 group by x.key)"
+        )
+        walk.append(f"x{k + 1} as (select x.key, x.s, x.i // 16 as i, proof || l || r as proof, case when c = 1 then f else sha256(l || f || r) end as f from {at} x join s{k} using (key))")
+        at = f"x{k + 1}"
+    return f"""
+with recursive crc as (
+  select doc_id, encode(doc_id::varchar) as b, 0 as k, 4294967295::bigint as v from (select distinct doc_id from documents where doc_id is not null)
+  union all select doc_id, b, k + 1, list_reduce([xor(v, ascii(substr(doc_id::varchar, k + 1, 1))::bigint), 0, 1, 2, 3, 4, 5, 6, 7], lambda a, z: xor(a >> 1, (a & 1) * 3988292384)) from crc where k < length(doc_id::varchar)
+),
+picked as (select doc_id from crc where k = length(doc_id::varchar) and xor(v, 4294967295::bigint) % 5 = 0),
+d as (select row_number() over () as key, doc_id, coalesce('1' || source, '0') as s, {leaf("text")} as h,
+      case when doc_id in (select doc_id from picked) then {leaf(lower)} end as forged from documents),
+n0 as (select key, doc_id, s, row_number() over (partition by s order by doc_id nulls first, h) - 1 as i, h, forged, count(*) over (partition by s) as c from d),
+{", ".join(parts)},
+x0 as (select key, s, i, '' as proof, coalesce(forged, h) as f from n0),
+{", ".join(walk)}
+select n0.doc_id, n0.h as leaf, n{levels}.h as subroot, t{top_levels}.h as root, sha256(proof) as proof_sha256, f as folded_root, f = t{top_levels}.h as verified
+from n0 join {at} using (key) join n{levels} on n{levels}.s = n0.s, t{top_levels}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": _OP1, "op2_secrets": _op2(), "op3_mixing": _op3(), "op10_decontamination": _OP10}
+    return {"op1_suffix_dedup": _OP1, "op2_secrets": _op2(), "op3_mixing": _op3(), "op10_decontamination": _OP10, "op11_manifest": _op11()}
