@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontaminate, html, language, lm, manifest, mixing, quality, secrets, simhash, suffix_dedup, urls
+from marlstone.llm import alignment, decontaminate, html, language, lm, manifest, mixing, quality, secrets, simhash, suffix_dedup, urls
 from marlstone.llm.common import materialise
 
 
@@ -79,8 +79,12 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verified(manifest.manifest(docs, tampered={"text": manifest.lower_cased(docs["text"])}, when=picked))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_secrets, op3_mixing, op4_url_filter, op5_html_extraction, op6_simhash, op7_quality, op8_lm_score, op9_language_id, op10_decontamination, op11_manifest)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_secrets, op3_mixing, op4_url_filter, op5_html_extraction, op6_simhash, op7_quality, op8_lm_score, op9_language_id, op10_decontamination, op11_manifest, op12_alignment)}
 
 
 _OP1 = """
