@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import alignment, decontaminate, html, language, lm, manifest, mixing, quality, secrets, simhash, suffix_dedup, urls
+from marlstone.llm import alignment, decontaminate, html, language, lm, manifest, mixing, pii, quality, secrets, simhash, suffix_dedup, urls
 from marlstone.llm.common import materialise
 
 
@@ -83,8 +83,15 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.find_pii(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = lambda k: F.size(F.filter("pii", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    base = F.filter("pii", lambda x: x["kind"].isin(*pii.BASE_KINDS))
+    return got.select("doc_id", *[n(k) for k in pii.BASE_KINDS], F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("pii")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_secrets, op3_mixing, op4_url_filter, op5_html_extraction, op6_simhash, op7_quality, op8_lm_score, op9_language_id, op10_decontamination, op11_manifest, op12_alignment)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_secrets, op3_mixing, op4_url_filter, op5_html_extraction, op6_simhash, op7_quality, op8_lm_score, op9_language_id, op10_decontamination, op11_manifest, op12_alignment, op13_pii)}
 
 
 _OP1 = """
