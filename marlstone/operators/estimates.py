@@ -87,9 +87,10 @@ def combined_price(statistical: Column, comparable: Column, risk: Column, condit
     return F.when(base > 0, base * (1 + risk_part + state_part))
 
 
-def yearly_loss(df: DataFrame, keys: list[str], year: str, c: str) -> DataFrame:
-    """Euros a year between the medians of the oldest and the newest year of each group, where that is positive."""
-    g = df.where(F.col(year).isNotNull() & F.col(c).isNotNull()).groupBy(*keys, year).agg(F.median(c).alias("_p"))
+def yearly_loss(df: DataFrame, keys: list[str], year: str, c: str, n: str | None = None) -> DataFrame:
+    """Euros a year between the medians of the oldest and the newest year of each group, where that is positive; ``n`` counts what a row stands for."""
+    middle = F.percentile(c, F.lit(0.5), F.col(n)) if n else F.median(c)
+    g = df.where(F.col(year).isNotNull() & F.col(c).isNotNull()).groupBy(*keys, year).agg(middle.alias("_p"))
     s = g.groupBy(*keys).agg(F.min_by("_p", year).alias("_old"), F.max_by("_p", year).alias("_new"), (F.max(year) - F.min(year)).alias("span"))
     return s.select(*keys, "span", F.try_divide(F.col("_old") - F.col("_new"), F.col("span")).alias("per_year")).where("per_year > 0")
 
