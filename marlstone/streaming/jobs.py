@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.streaming import upserts
+
 
 def follow(spark: SparkSession, path: str, schema, files: int = 4) -> DataFrame:
     """A stream of the Parquet files under ``path``, some files a batch."""
@@ -33,19 +35,13 @@ def each_batch(stream: DataFrame, out: str, act: Callable[[DataFrame, int], None
 
 
 def keep_newest(spark: SparkSession, stream: DataFrame, out: str, keys: list[str], newest: list[Column]) -> DataFrame:
-    """Idempotent upserts: each batch writes the table anew under its own number, so a repeated batch changes nothing."""
-    w = Window.partitionBy(*keys).orderBy(*newest)
-    schema, seen = stream.schema, []
-
-    def act(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if seen and seen[-1] != number:
-            rows = batch.unionByName(spark.read.schema(schema).parquet(f"{out}/{seen[-1]}"))
-        rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").write.mode("overwrite").parquet(f"{out}/{number}")
-        seen.append(number)
-
-    each_batch(stream, out, act)
-    return spark.read.schema(schema).parquet(f"{out}/{seen[-1]}") if seen else spark.createDataFrame([], schema)
+    """Idempotent upserts: each batch is a delta under its own number, and the newest row of each key is taken when read.
+
+    A job started again, with or without new files, goes on from the folder; a repeated batch changes nothing.
+    """
+    schema = stream.schema
+    each_batch(stream, out, lambda batch, number: upserts.put_batch(spark, batch, number, out, keys, newest))
+    return upserts.current(spark, out, schema, keys, newest)
 
 
 def breaker(log: DataFrame, key: str, ts: str, failed: str, order: list[str], least: int, recovery_s: int) -> DataFrame:
