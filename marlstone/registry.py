@@ -26,4 +26,4 @@ def oracle_sql() -> dict[str, str]:
     return _SQL
 
 
-from marlstone.plans import blend_queries, bundle_queries, decision_queries, domain_queries, economics_queries, estimate_queries, field_queries, group_queries, market_queries, matching_queries, report_queries, rule_queries, stream_queries, value_queries, vehicle_queries  # noqa: E402, F401  they register their queries
+from marlstone.plans import blend_queries, bundle_queries, decision_queries, domain_queries, economics_queries, estimate_queries, family_queries, field_queries, group_queries, market_queries, matching_queries, report_queries, rule_queries, stream_queries, value_queries, vehicle_queries  # noqa: E402, F401  they register their queries
