@@ -9,15 +9,31 @@ from marlstone.operators import clean, fields
 
 #: Bounds of business rules.
 PRICE_PER_KM, PRICE_PER_YEAR, PRICE_PER_LITRE, LUXURY, BUDGET = 0.1, 50_000, 100_000, 50_000, 5_000
-#: Words that make a price no total, that mark a damaged vehicle (blocking or suspicious) and that mark none at all.
-NOT_TOTAL = {
-    "preco_mensalidade": ("mensal", "/mes", "por mes"), "preco_prestacao": ("prestacao",), "preco_entrada": ("entrada de", "entrada inicial", "valor de entrada"), "preco_desde": ("desde ", "a partir de"),
-    "preco_sob_consulta": ("sob consulta", "sob-consulta", "preco a combinar"), "preco_sem_iva": ("sem iva", "s/ iva", "s/iva", "+ iva", "mais iva", "iva dedutivel", "iva discriminado"),
-    "preco_renting": ("renting", "ald "), "preco_leasing": ("leasing",), "preco_aluguer": ("aluguer",),
-}
-BLOCKING_DAMAGE = {"salvado": ("salvado",), "para_pecas": ("para pecas", "pecas de", "sucata", "para abate"), "sem_documentos": ("sem documentos", "sem livrete"), "penhora": ("penhora", "apreendido")}
-SUSPECT_DAMAGE = {"acidentado": ("acidentado", "batido", "sinistrado"), "avaria_grave": ("motor fundido", "motor gripado", "nao pega", "avariado"), "para_restauro": ("para restauro",)}
-NO_CAR = {"nao_e_automovel": ("trotinete", "bicicleta", "jet ski", "barco", "atrelado", "reboque", "trator", "empilhador"), "quadriciclo_ou_microcarro": ("quadriciclo", "microcarro", "sem carta")}
+#: Words that make a price no total.
+NOT_TOTAL = (
+    ("mensalidade", "preco_mensalidade"), ("/mes", "preco_mensalidade"), ("/mês", "preco_mensalidade"), ("por mes", "preco_mensalidade"), ("euros/mes", "preco_mensalidade"), ("prestacao", "preco_prestacao"),
+    ("prestação", "preco_prestacao"), ("mensal", "preco_mensalidade"), ("entrada de", "preco_entrada"), ("entrada inicial", "preco_entrada"), ("valor de entrada", "preco_entrada"), ("sinal de", "preco_sinal"),
+    ("desde ", "preco_desde"), ("a partir de", "preco_desde"), ("sob consulta", "preco_sob_consulta"), ("sob-consulta", "preco_sob_consulta"), ("preco a combinar", "preco_sob_consulta"), ("sem iva", "preco_sem_iva"),
+    ("s/ iva", "preco_sem_iva"), ("s/iva", "preco_sem_iva"), ("+ iva", "preco_sem_iva"), ("mais iva", "preco_sem_iva"), ("iva dedutivel", "preco_sem_iva"), ("iva discriminado", "preco_sem_iva"),
+    ("renting", "preco_renting"), ("leasing", "preco_leasing"), ("aluguer", "preco_aluguer"), ("ald ", "preco_renting"), ("credito obrigatorio", "credito_obrigatorio"),
+    ("financiamento obrigatorio", "credito_obrigatorio"), ("retoma obrigatoria", "retoma_obrigatoria"),
+)
+#: Words that mark a damaged or irregular vehicle, and the labels of these that block.
+DAMAGED = (
+    ("salvado", "salvado"), ("para pecas", "para_pecas"), ("para peças", "para_pecas"), ("pecas de", "para_pecas"), ("peças de", "para_pecas"), ("desmantelamento", "para_pecas"), ("sucata", "para_pecas"),
+    ("para abate", "para_pecas"), ("acidentado", "acidentado"), ("batido", "acidentado"), ("sinistrado", "acidentado"), ("capotado", "acidentado"), ("incendiado", "acidentado"), ("afundado", "acidentado"),
+    ("motor fundido", "avaria_grave"), ("motor gripado", "avaria_grave"), ("nao pega", "avaria_grave"), ("não pega", "avaria_grave"), ("nao trabalha", "avaria_grave"), ("avariado", "avaria_grave"),
+    ("para restauro", "para_restauro"), ("sem documentos", "sem_documentos"), ("sem livrete", "sem_documentos"), ("documentos em falta", "sem_documentos"), ("penhora", "penhora"), ("penhorado", "penhora"),
+    ("apreendido", "penhora"), ("sem legalizacao", "sem_legalizacao"), ("por legalizar", "sem_legalizacao"), ("nao legalizado", "sem_legalizacao"), ("matricula estrangeira", "sem_legalizacao"),
+)
+BLOCKING_LABELS = ("salvado", "para_pecas", "sem_documentos", "penhora")
+#: Words that mark no car, and titles that name no vehicle.
+NO_CAR = (
+    ("trotinete", "nao_e_automovel"), ("bicicleta", "nao_e_automovel"), ("mota de agua", "nao_e_automovel"), ("jet ski", "nao_e_automovel"), ("barco", "nao_e_automovel"), ("atrelado", "nao_e_automovel"),
+    ("reboque", "nao_e_automovel"), ("maquina agricola", "nao_e_automovel"), ("trator", "nao_e_automovel"), ("empilhador", "nao_e_automovel"), ("quadriciclo", "quadriciclo_ou_microcarro"),
+    ("microcarro", "quadriciclo_ou_microcarro"), ("sem carta", "quadriciclo_ou_microcarro"), ("ligeiro de mercadorias", "comercial_nao_ligeiro"), ("caixa aberta", "comercial_nao_ligeiro"),
+)
+GENERIC_TITLE = r"^(carro|viatura|automovel|vendo carro|carro usado|oportunidade|varios|diversos|nacional|bom estado)[\s\W]*$"
 PLACEHOLDERS = (1, 10, 99, 100, 111, 123, 500, 999, 1000, 1111, 12345, 99999)
 LEAST_PRICE, MOST_PRICE = 300, 2_000_000
 #: Brands that may cost over half a million, words that name no brand, and words of parts.
@@ -82,14 +98,37 @@ def schema_violations(df: DataFrame, schema: dict[str, dict]) -> DataFrame:
     return counts.select(F.substring_index("rule", ":", 1).alias("column"), F.substring_index("rule", ":", -1).alias("check"), "n")
 
 
-def _found(text: Column, table: dict[str, tuple[str, ...]]) -> Column:
-    return F.array_compact(F.array(*[F.when(fields._any(text, words), label) for label, words in table.items()]))
+def labels_of(table: tuple[tuple[str, str], ...], keep=lambda label: True) -> dict[str, list[str]]:
+    """Folded words by label, both in the order of the table."""
+    out: dict[str, list[str]] = {}
+    for word, label in table:
+        plain = "".join(PLAIN_OF.get(c, c) for c in word)
+        if keep(label) and plain not in out.setdefault(label, []):
+            out[label].append(plain)
+    return out
+
+
+PLAIN_OF = dict(zip(fields.ACCENTED, fields.PLAIN))
+PARTIAL, NOT_CAR = labels_of(NOT_TOTAL), labels_of(NO_CAR)
+BLOCKING_DAMAGE, SUSPECT_DAMAGE = labels_of(DAMAGED, BLOCKING_LABELS.__contains__), labels_of(DAMAGED, lambda label: label not in BLOCKING_LABELS)
+
+
+def _found(text: Column, table: dict[str, list[str]]) -> Column:
+    hits = [F.when(_contains_any(text, words), label) for label, words in table.items()]
+    return F.array_compact(F.array(*hits))
+
+
+def _contains_any(text: Column, words: list[str]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | text.contains(w)
+    return out
 
 
 def guard(title: Column, description: Column, price: Column, year: Column, km: Column, brand: Column, model: Column, place: Column, reference: Column, asof_year: int) -> Column:
     """Struct of blocking, suspicious and warning reasons (sorted, each once) and whether the price is a total."""
     text = fields.fold_accents(F.concat_ws(" ", title, description))
-    partial = _found(text, NOT_TOTAL)
+    partial = _found(text, PARTIAL)
     age = F.greatest(F.lit(1), F.lit(asof_year) - year)
     ratio = F.when((reference > 4000) & (price > 0), price / reference)
     off_price = F.when(price.isNull() | (price <= 0), "preco_ausente").when(price.isin(*PLACEHOLDERS), "preco_placeholder").when(price < LEAST_PRICE, "preco_abaixo_do_minimo").when(price > MOST_PRICE, "preco_acima_do_maximo")
@@ -103,6 +142,7 @@ def guard(title: Column, description: Column, price: Column, year: Column, km: C
     suspicious = [
         F.when((ratio >= 0.12) & (ratio < 0.35), "preco_muito_abaixo_da_referencia").when(ratio > 4, "preco_muito_acima_da_referencia"),
         F.when(~bad_year & (km > 90_000 * age), "km_incompativel_com_idade").when(~bad_year & (age >= 8) & (km >= 0) & (km < 1000), "km_implausivelmente_baixo"),
+        F.when(fields.fold_accents(F.trim(title)).rlike(GENERIC_TITLE), "titulo_generico"),
     ]
     warnings = [
         F.when((price > 400_000) & (price <= MOST_PRICE), "preco_muito_elevado"), F.when(year.isNull(), "ano_ausente"), F.when(km.isNull(), "km_ausente"), F.when(none(model), "modelo_ausente"),
@@ -111,7 +151,7 @@ def guard(title: Column, description: Column, price: Column, year: Column, km: C
     tidy = lambda *arrays: F.array_sort(F.array_distinct(F.concat(*arrays)))
     own = lambda cs: F.array_compact(F.array(*cs))
     return F.struct(
-        tidy(partial, _found(text, BLOCKING_DAMAGE), _found(text, NO_CAR), own(blocking)).alias("blocking"), tidy(_found(text, SUSPECT_DAMAGE), own(suspicious)).alias("suspicious"), tidy(own(warnings)).alias("warnings"),
+        tidy(partial, _found(text, BLOCKING_DAMAGE), _found(text, NOT_CAR), own(blocking)).alias("blocking"), tidy(_found(text, SUSPECT_DAMAGE), own(suspicious)).alias("suspicious"), tidy(own(warnings)).alias("warnings"),
         ((F.size(partial) == 0) & off_price.isNull() & F.coalesce(ratio >= 0.12, F.lit(True))).alias("price_is_total"),
     )
 

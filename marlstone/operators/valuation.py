@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions import stats
+from marlstone.functions import quantiles, stats
 
 
 def clamp(c: Column, lo: float, hi: float) -> Column:
@@ -94,12 +94,36 @@ def lambda_fit(df: DataFrame, tier_col: str, price: str, value: str, least: int
     return g.withColumn("lam", F.least(F.lit(1.0), F.try_divide(floor, F.col("sd")) ** 2))
 
 
-def conformal_factor(df: DataFrame, keys: list[str], y: str, low: str, high: str, target: float = 0.8) -> DataFrame:
-    """Multiplicative widening so that ``target`` of the values fall inside: the rank is ceil-free linear quantile of log misses."""
-    miss = F.greatest(F.ln(F.col(y) / F.col(high)), F.ln(F.col(low) / F.col(y)))
-    x = df.where((F.col(y) > 0) & (F.col(low) > 0) & (F.col(high) > 0)).withColumn("_m", miss)
-    hit = (F.col(y) >= F.col(low)) & (F.col(y) <= F.col(high))
-    return x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.exp(F.greatest(F.lit(0.0), F.percentile("_m", F.lit(target)))).alias("factor"), (F.avg(hit.cast("double")) * 100).alias("coverage_pct"))
+def conformal_factor(df: DataFrame, keys: list[str], y: str, low: str, high: str, center: str, target: float = 0.8, least: int = 50, least_band: int = 30) -> DataFrame:
+    """(keys, n, factor, coverage_pct) of each band: what its intervals must be multiplied by so that ``target`` of the values fall inside.
+
+    The factor is the exponential of the linear quantile, at level target * (1 + 1 / n) and at most 1, of how far (in
+    logarithms) a value lies outside, and 1 at least. A band of fewer than ``least_band`` values takes the factor of all
+    values; below ``least`` values in all there is no row. Values and centers must be positive and bounds in order. Places
+    come from range-dealt misses, so no band is sorted in one task.
+    """
+    tiny = F.lit(1e-9)
+    log = lambda c: F.ln(F.greatest(F.col(c), tiny))
+    miss = F.greatest(log(y) - log(high), log(low) - log(y))
+    x = df.where((F.col(center) > 0) & (F.col(y) > 0) & (F.col(high) >= F.col(low)))
+    hit = ((F.col(y) >= F.col(low)) & (F.col(y) <= F.col(high))).cast("double")
+    x = x.select(*keys, miss.alias("_miss"), hit.alias("_hit"))
+    bands = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.avg("_hit") * 100).alias("coverage_pct"))
+
+    def factor(order: list[str], groups: list[str]) -> DataFrame:
+        placed = quantiles.dealt(x.select(*groups, "_miss"), order)
+        starts = placed.groupBy(*groups).agg(F.min("_upto").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        p = placed.join(starts, groups) if groups else placed.crossJoin(F.broadcast(starts))  # one row
+        at = F.least(F.lit(target) * (1 + 1 / F.col("_n")), F.lit(1.0)) * (F.col("_n") - 1)
+        i = F.col("_upto") - F.col("_first")
+        value = lambda k: F.max(F.when(i == k, F.col("_miss")))
+        g = p.groupBy(*groups).agg(value(F.floor(at)).alias("_lo"), value(F.ceil(at)).alias("_hi"), F.max(at - F.floor(at)).alias("_part"), F.max("_n").alias("_n"))
+        return g.select(*groups, F.exp(F.greatest(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part"), F.lit(0.0))).alias("factor"), "_n")
+
+    own = factor([*keys, "_miss"], keys).withColumnRenamed("factor", "_own").drop("_n")
+    every = factor(["_miss"], []).where(F.col("_n") >= least).select(F.col("factor").alias("_all"))
+    out = bands.join(own, keys).crossJoin(F.broadcast(every))  # one row
+    return out.select(*keys, "n", F.when(F.col("n") >= least_band, F.col("_own")).otherwise(F.col("_all")).alias("factor"), "coverage_pct")
 
 
 def hierarchy(df: DataFrame, levels: list[list[str]], c: str, least: int = 3) -> DataFrame:

@@ -125,7 +125,17 @@ on_listings("op_v11_hierarchy", lambda df: valuation.hierarchy(df, [["make", "mo
     "select case when n0 >= 5 then 0 when n1 >= 5 then 1 when n2 >= 5 then 2 end as level, count(*) as n, avg(case when n0 >= 5 then v0 when n1 >= 5 then v1 when n2 >= 5 then v2 end) as mean_value from x group by 1", "mean_value")
 on_listings("op_v09_km_elasticity", lambda df: valuation.km_elasticity(df, ["make", "model"]), "select make, model, count(*) as n, regr_slope(ln(price), ln(mileage)) as slope, case when count(*) >= 5 then greatest(-0.45e0, least(-0.05e0, regr_slope(ln(price), ln(mileage)))) end as elasticity from listings where price > 0 and mileage > 0 group by make, model", "slope elasticity")
 on_listings("op_v08_weighted_median", lambda df: valuation.weighted_median(df, ["make"], "price", 51 - V("mileage") / 4000), ", g as (select make, price, sum(51 - mileage / 4000) as w from listings group by make, price), c as (select *, sum(w) over (partition by make order by price) as c, sum(w) over (partition by make) as t from g) select make, min(price) as weighted_median from c where c >= t * 0.5e0 group by make")
-on_listings("op_v30_conformal", lambda df: valuation.conformal_factor(_med(df).withColumns({"lo": V("med") * 0.7, "hi": V("med") * 1.3}), ["make"], "price", "lo", "hi"), MED + " select make, count(*) as n, exp(greatest(0e0, quantile_cont(greatest(ln(price / (med * 1.3e0)), ln(med * 0.7e0 / price)), 0.8))) as factor, avg(case when price between med * 0.7e0 and med * 1.3e0 then 1e0 else 0e0 end) * 100 as coverage_pct from m group by make", "factor coverage_pct")
+on_listings(
+    "op_v30_conformal",
+    lambda df: valuation.conformal_factor(_med(df).withColumns({"lo": V("med") * 0.7, "hi": V("med") * 1.3}), ["make", "year"], "price", "lo", "hi", "med"),
+    MED + """, x as (select make, year, greatest(ln(price / (med * 1.3e0)), ln(med * 0.7e0 / price)) as miss, price between med * 0.7e0 and med * 1.3e0 as hit from m),
+r as (select *, row_number() over (partition by make, year order by miss) - 1 as i, count(*) over (partition by make, year) as n, row_number() over (order by miss) - 1 as gi, count(*) over () as gn from x),
+p as (select *, least(0.8e0 * (1 + 1e0 / n), 1e0) * (n - 1) as pl, least(0.8e0 * (1 + 1e0 / gn), 1e0) * (gn - 1) as gpl from r),
+g as (select max(case when gi = floor(gpl) then miss end) as lo, max(case when gi = ceil(gpl) then miss end) as hi, max(gpl - floor(gpl)) as part from p),
+b as (select make, year, any_value(n) as n, max(case when i = floor(pl) then miss end) as lo, max(case when i = ceil(pl) then miss end) as hi, max(pl - floor(pl)) as part, avg(hit::int) * 100 as coverage_pct from p group by make, year)
+select make, year, n, case when n >= 30 then exp(greatest(b.lo + (b.hi - b.lo) * b.part, 0)) else exp(greatest(g.lo + (g.hi - g.lo) * g.part, 0)) end as factor, coverage_pct from b, g""",
+    "factor coverage_pct",
+)
 on_listings("op_m06_regression_metrics", lambda df: _med(df).agg(F.avg(F.pow(V("price") - V("med"), F.lit(2))).alias("mse"), F.avg(F.abs(V("price") - V("med"))).alias("mae"), (1 - F.sum(F.pow(V("price") - V("med"), F.lit(2))) / (F.var_pop("price") * F.count("price"))).alias("r2"), (F.avg(F.abs(V("price") - V("med")) / V("price")) * 100).alias("mape"), F.corr("price", "med").alias("corr")),
     MED + " select avg(pow(price - med, 2)) as mse, avg(abs(price - med)) as mae, 1 - sum(pow(price - med, 2)) / (var_pop(price) * count(price)) as r2, avg(abs(price - med) / price) * 100 as mape, corr(price, med) as corr from m", "mse mae r2 mape corr")
 register("op_m07_confusion", lambda spark, d: table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").groupBy("quality", (V("n_chars") > 400).cast("int").alias("predicted")).agg(F.count(F.lit(1)).alias("n")), "select quality, (n_chars > 400)::int as predicted, count(*) as n from labels join documents using (doc_id) group by all")

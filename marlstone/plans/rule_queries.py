@@ -58,8 +58,8 @@ on_listings("op_q08_guard",
     MED + f""", x as (select *, {_TITLE} as title, ({_PRICE})::double as pr, ({_KM})::double as k from m),
 y as (select *, translate(lower(coalesce(title, '')), '{rules.fields.ACCENTED}', '{rules.fields.PLAIN}') as t, pr / med as ratio, greatest(1, 2004 - year) as age,
  case when pr <= 0 then 'preco_ausente' when pr in {rules.PLACEHOLDERS} then 'preco_placeholder' when pr < 300 then 'preco_abaixo_do_minimo' end as off from x),
-z as (select *, {_SQL_FOUND(rules.NOT_TOTAL)} as partial from y)
-select {ID}, {_TIDY('partial', _SQL_FOUND(rules.BLOCKING_DAMAGE), _SQL_FOUND(rules.NO_CAR), _OWN('off', "case when ratio < 0.12 then 'preco_e_fracao_do_valor' end", "case when k > 1500000 then 'km_impossivel' end", "case when line = 6 then 'marca_ausente' end"))} as blocking,
+z as (select *, {_SQL_FOUND(rules.PARTIAL)} as partial from y)
+select {ID}, {_TIDY('partial', _SQL_FOUND(rules.BLOCKING_DAMAGE), _SQL_FOUND(rules.NOT_CAR), _OWN('off', "case when ratio < 0.12 then 'preco_e_fracao_do_valor' end", "case when k > 1500000 then 'km_impossivel' end", "case when line = 6 then 'marca_ausente' end"))} as blocking,
  {_TIDY(_SQL_FOUND(rules.SUSPECT_DAMAGE), _OWN("case when ratio >= 0.12 and ratio < 0.35 then 'preco_muito_abaixo_da_referencia' when ratio > 4 then 'preco_muito_acima_da_referencia' end", "case when k > 90000 * age then 'km_incompativel_com_idade' when age >= 8 and k < 1000 then 'km_implausivelmente_baixo' end"))} as suspicious,
  {_TIDY(_OWN("case when title is null then 'titulo_ausente' end"))} as warnings, len(partial) = 0 and off is null and ratio >= 0.12 as price_is_total from z""")
 _BRAND = "case line when 4 then 'moto' when 5 then '12.5' when 6 then ' ' else make end"
