@@ -19,7 +19,9 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _STEP = re.compile(r"[>=]")
 _VALUE = re.compile(r"[\s>]")
 _KEY = re.compile(r"([^\s/\"'<>=]+)\s*\Z")
-_RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "select", "object"}
+#: Dropped elements: those whose content is text up to their end tag, and those that may hold one another.
+_RAW = {"script", "style", "noscript", "textarea", "iframe", "title", "xmp"}
+_NESTED = {"svg", "math", "template", "select", "object"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -33,6 +35,10 @@ _NAMES = {
     "head": "header head masthead topbar logo branding", "share": "share social related recommended newsletter subscribe signup login search more tags", "body": "content article post entry story main body text",
 }
 _NAME_OF = {w: k for k, ws in _NAMES.items() for w in ws.split()}
+_CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in _RAW}
+#: Words of _NAMES that also count where a longer word begins with them ("commentlist").
+_STEMS = tuple(w for w in _NAME_OF if len(w) >= 6)
+_RIGHTS = re.compile(r"\s*(?:copyright\b|\(c\)|all rights reserved)", re.I)
 _BAD = ("ad", "comment", "side", "menu", "notice", "foot", "head", "share")
 
 
@@ -81,6 +87,29 @@ class _Tags:
             end, values = self._end(m.end())
             return k, end, slash, m[0].lower(), values
 
+    def after(self, name: str, at: int) -> int:
+        """Where a dropped element ends whose start tag ends at ``at``; the end of the page if it is never closed.
+
+        Text elements end at the first end tag of their name, whatever a slash in the start tag says; the others at the
+        one that closes them, their own kind inside counted.
+        """
+        page, n, depth = self.page, len(self.page), 1
+        if name in _RAW:
+            m = _CLOSING[name].search(page, at)
+            return n if m is None else page.find(">", m.end()) + 1 or n
+        while True:
+            found = self.next(at)
+            if found is None:
+                return n
+            _, at, slash, inner, _ = found
+            if inner == name:
+                closed = name in ("svg", "math") and page[at - 2 : at - 1] == "/"
+                depth += -1 if slash else 0 if closed else 1
+                if depth == 0:
+                    return at
+            elif inner in _RAW and not slash:
+                at = self.after(inner, at)
+
     def _end(self, at: int) -> tuple[int, dict[str, str]]:
         page, n, values, since = self.page, len(self.page), {}, at
         while True:
@@ -106,6 +135,11 @@ class _Tags:
                 values[key[1].lower()] = value
 
 
+def name_of(word: str) -> str | None:
+    """Kind that a word of a class, id or role names, as a whole or by how it begins."""
+    return _NAME_OF.get(word) or next((_NAME_OF[w] for w in _STEMS if word.startswith(w)), None)
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order: text between block-level tags, inline tags dissolved, scripts and the like dropped."""
     if not isinstance(page, str):
@@ -160,10 +194,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
             if depth.get(name):
                 close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             continue
-        if name in _RAW:
-            if page[after - 2 : after - 1] != "/":
-                closing = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = closing.end() if closing else end
+        if name in _RAW or name in _NESTED:
+            if name in _RAW or name not in ("svg", "math") or page[after - 2 : after - 1] != "/":
+                at = tags.after(name, at)
             continue
         if name == "a":
             links += 1
@@ -182,7 +215,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 if stack[i][0] in ("ul", "ol", "table", "div", "article", "section", "body"):
                     break
         links = 0
-        own = {_NAME_OF[w] for v in values.values() for w in re.split(r"[^a-z]+", v.lower()) if w in _NAME_OF}
+        own = {k for v in values.values() for w in re.split(r"[^a-z]+", v.lower()) if (k := name_of(w))}
         _, above, inner, names = stack[-1] if stack else ("", frozenset(), "none", frozenset())
         stack.append((name, above | {name} if name in _TAGS and name not in above else above, name if name in _LANDMARKS else inner, names | own if own - names else names))
         depth[name] = depth.get(name, 0) + 1
@@ -210,7 +243,7 @@ def feature_names(blocks: list[Block]) -> list[list[str]]:
         f.append("link:" + ("0" if share < 0.1 else "some" if share < 0.6 else "most"))
         if b.text[-1] in ".!?:;…\"”":
             f.append("stop")
-        if "©" in b.text or "·" in b.text or "|" in b.text:
+        if "©" in b.text or "·" in b.text or "|" in b.text or _RIGHTS.match(b.text):
             f.append("mark")
         rows.append(f)
     return rows

@@ -37,6 +37,37 @@ def test_markup_is_read_in_linear_time(piece):
     assert time.time() - began < 8
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<script src=/a/>var q = 1;</script><p>kept</p>", '<script src="x"/>code()</script ><p>kept</p>', "<svg><svg></svg>t</svg><p>kept</p>", "<svg/><p>kept</p>", "<SCRIPT>if (a</b) x('</scripts>')</Script\n foo><p>kept</p>",
+        "<template><script>'</template>'</script>t</template><p>kept</p>", "<object>a<object>b</object>c</object><p>kept</p>", "<p>kept</p><style>a{}", "<math><mi>x</mi></math><p>kept</p>",
+    ],
+)
+def test_dropped_elements_end_where_they_are_closed(page):
+    assert [b.text for b in html.leaf_blocks(page)] == ["kept"]
+
+
+def test_unclosed_end_tags_take_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        t = time.perf_counter()
+        html.leaf_blocks("<script>" + "</script " * n)
+        html.leaf_blocks("<svg>" + "</svg " * n)
+        took.append(time.perf_counter() - t)
+    assert took[1] < 12 * max(took[0], 0.02)
+
+
+def test_comments_and_footers_by_name_and_text():
+    crf = html.fit()
+    para = "<p>" + "The river rose in the night and the lower fields were under water by dawn. " * 3 + "</p>"
+    article = f"<article><h1>Floods in the valley</h1>{para * 3}</article>"
+    for extra in ("<ol class='commentlist'><li><p>Great read, thanks a lot for this one.</p></li></ol>", "<div class='comments-area'><p>I was there too.</p></div>", "<div>Copyright 2024 Example</div>", "<div>All rights reserved.</div>"):
+        assert html.main_text(f"<body>{article}{extra}</body>", crf).endswith("by dawn."), extra
+
+
 def test_extraction(spark):
     df = spark.createDataFrame([(i, p, "clash") for i, p in enumerate(PAGES)] + [(3, PAGES[3], "clash")], "page_id long, html string, main_text string")
     got = html.extract_text(df).collect()
