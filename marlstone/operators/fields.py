@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,9 +107,29 @@ def split_of(key: Column, train: float = 0.7, validation: float = 0.15) -> Colum
     return F.when(bucket < cut(train), "train").when(bucket < cut(train + validation), "validation").otherwise("test")
 
 
+#: Signs whose decomposition has several ASCII letters and that texts hold; other such signs go.
+SIGNS = "¼½¾…№™ﬀﬁﬂﬃﬄ㎏㎞"
+
+
+def _plain(letter: str) -> str:
+    return unicodedata.normalize("NFKD", letter).encode("ascii", "ignore").decode().lower()
+
+
+@functools.cache
+def _letters() -> tuple[str, str]:
+    """Letters beyond ASCII whose compatibility decomposition leaves one ASCII letter, and these letters."""
+    found = {chr(k): _plain(chr(k)) for k in range(0x80, 0x110000)}
+    one = {k: v for k, v in found.items() if len(v) == 1}
+    return "".join(one), "".join(one.values())
+
+
 def fold_accents(c: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(c), ACCENTED, PLAIN)
+    """Lower case without accents: compatibility decomposition, of which only ASCII stays (what has none goes, as ``ß``)."""
+    low = F.lower(c)
+    whole = F.translate(low, *_letters())
+    for sign in SIGNS:
+        whole = F.replace(whole, F.lit(sign), F.lit(_plain(sign)))
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.regexp_replace(whole, r"[^\x00-\x7F]", "")).otherwise(low)
 
 
 def replace_terms(c: Column, terms: dict[str, str]) -> Column:
@@ -169,9 +192,9 @@ def truncated(c: Column, most: int, tail: str = "...") -> Column:
 
 
 def timestamp_of(c: Column) -> Column:
-    """Seconds since 1970, ISO times with or without ``Z``, or dates, as a time in the session's zone (UTC); what is none of them is null."""
+    """Seconds since 1970, ISO times with or without ``Z``, or dates, as a time; what names no zone is in the session's; what is none of them is null."""
     seconds = F.when(c.rlike("^[0-9]{9,10}$"), F.timestamp_seconds(c.try_cast("long")))
-    return F.coalesce(seconds, F.regexp_replace(c, "Z$", "").try_cast("timestamp"))
+    return F.coalesce(seconds, c.try_cast("timestamp"))  # a zone that is written counts, Z included
 
 
 def relative_date(c: Column, asof: str) -> Column:

@@ -114,8 +114,9 @@ BLOCKING_DAMAGE, SUSPECT_DAMAGE = labels_of(DAMAGED, BLOCKING_LABELS.__contains_
 
 
 def _found(text: Column, table: dict[str, list[str]]) -> Column:
-    hits = [F.when(_contains_any(text, words), label) for label, words in table.items()]
-    return F.array_compact(F.array(*hits))
+    """Labels of the words that stand in the text, which is computed once."""
+    hits = F.transform(F.array(text), lambda t: F.array(*[F.when(_contains_any(t, words), label) for label, words in table.items()]))
+    return F.array_compact(hits[0])
 
 
 def _contains_any(text: Column, words: list[str]) -> Column:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marlstone.operators import clean, fields
-from marlstone.operators.fields import ACCENTED, BAD_WORDS, FLAGS, GOOD_WORDS, PLAIN
+from marlstone.operators import clean, fields, validators
+from marlstone.operators.fields import BAD_WORDS, FLAGS, GOOD_WORDS
 from marlstone.plans.domain_queries import on_table
 from marlstone.plans.market_queries import ROW_ID, on_listings
 
@@ -68,7 +68,7 @@ on_listings("op_c19_split", lambda df: df.groupBy("location", fields.split_of(F.
             " select location, case when substr(md5(concat_ws('-', order_id, line, seller)), 1, 2) < 'b3' then 'train' when substr(md5(concat_ws('-', order_id, line, seller)), 1, 2) < 'da' then 'validation' else 'test' end as part, count(*) as n from listings group by all")
 
 # --- whole texts
-on_table("op_x01_accents", "documents", lambda df: df.select("doc_id", F.md5(fields.fold_accents(V("text"))).alias("folded")), f"select doc_id, md5(translate(lower(text), '{ACCENTED}', '{PLAIN}')) as folded from documents")
+on_table("op_x01_accents", "documents", lambda df: df.select("doc_id", F.md5(fields.fold_accents(V("text"))).alias("folded")), r"select doc_id, md5(regexp_replace(strip_accents(lower(text)), '[^\x00-\x7F]', '', 'g')) as folded from documents")
 _has = lambda words: "(" + " or ".join(f"contains(t, '{w}')" for w in words) + ")"
 on_table("op_x08_flags", "documents", lambda df: df.select("doc_id", *fields.flags(V("text"))),
          "with d as (select doc_id, lower(text) as t from documents) select doc_id, " + ", ".join(f"coalesce({_has(ws)}, false) as {k}" for k, ws in FLAGS.items()) + " from d")
@@ -81,3 +81,32 @@ on_table("op_x10_tone", "documents", lambda df: df.groupBy("lang", fields.tone(F
          f"""with d as (select lang, lower(coalesce(text || case doc_id % 5 when 0 then ' perfeito' when 1 then ' avariado' else '' end, '')) as t from documents), s as (select lang, {_count(GOOD_WORDS)} as g, {_count(BAD_WORDS)} as b from d)
 select lang, case when g / nullif(g + b, 0) > 0.6 then 'positive' when g / nullif(g + b, 0) < 0.4 then 'negative' else 'neutral' end as tone, count(*) as n from s group by all""")
 on_table("op_x15_url", "pages", lambda df: df.select("page_id", fields.valid_url(V("url")).alias("ok")), r"select page_id, coalesce(regexp_matches(url, '^https?://[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+(:[0-9]+)?([/?#]\S*)?$'), false) as ok from pages")
+
+# --- validators and element scores
+_ELEMENT = r"<(p|li|h[1-6]|div)[^<>]*>[^<>]*"
+
+
+def _elements(df):
+    """Elements of a page with the text right after their start tag; the place on the page stands for the depth."""
+    e = df.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(_ELEMENT), F.lit(0))).alias("i", "e"))
+    return e.select("page_id", "i", F.substring_index("e", ">", -1).alias("text"), F.when(V("i") == 0, F.concat(F.lit("/anuncio-"), "url")).alias("href"), F.regexp_extract("e", _ELEMENT, 1).alias("tag"), (V("i") % 2 == 0).alias("image"), F.least(V("i"), F.lit(9)).alias("depth"))
+
+
+on_table(
+    "op_n30_element_scores", "pages", lambda df: _elements(df).select("page_id", "i", validators.element_score(V("text"), V("href"), V("tag"), V("image"), V("depth")).alias("s")).select("page_id", "i", "s.*"),
+    rf"""with x as (select page_id, url, regexp_extract_all(html, '{_ELEMENT}') as es from pages), y as (select page_id, url, unnest(range(0, len(es))) as i, unnest(es) as e from x),
+z as (select page_id, i, trim(string_split(e, '>')[-1], ' ' || chr(9) || chr(10) || chr(13)) as t, regexp_extract(e, '{_ELEMENT}', 1) as tag, i = 0 and url is not null as ad, i % 2 = 0 as image, least(i, 9) as depth from y),
+s as (select page_id, i, 0.3e0 * regexp_matches(t, '[0-9]')::int + 0.25e0 * ad::int + 0.15e0 * regexp_matches(t, '\b(19[89][0-9]|20[0-2][0-9])\b')::int + 0.15e0 * regexp_matches(lower(t), '[0-9]{{1,3}}([.\s][0-9]{{3}})*\s*(km|quilómetros)')::int
+  + 0.1e0 * regexp_matches(tag, '^h[1-6]$')::int + 0.05e0 * image::int - 0.02e0 * depth + 0.01e0 * length(t) as raw from z)
+select page_id, i::int as i, greatest(0e0, least(1e0, raw / 1.01e0)) as confidence, greatest(0e0, least(1e0, raw / 1.01e0)) >= 0.5 as is_listing from s""",
+    "confidence",
+)
+on_listings(
+    "op_q12_validators",
+    lambda df: df.select(validators.checked(F.when(V("line") != 2, F.concat(F.lit("https://a.example/"), "order_id")), F.when(V("line") != 3, V("price") * F.when(V("line") == 4, 20).otherwise(0.02)), F.when(V("line") == 7, "moto").otherwise("car"), V("year") - F.when(V("line") == 5, 20).otherwise(0), V("mileage") * 4, 1997).alias("c"))
+    .groupBy("c.url", "c.price", "c.year", "c.km", "c.valid").agg(F.count(F.lit(1)).alias("n")),
+    """, x as (select line, case when line <> 3 then price * case when line = 4 then 20 else 0.02e0 end end as p, year - case when line = 5 then 20 else 0 end as y, mileage * 4 as k from listings),
+e as (select case when line = 2 then 'empty' end as url, case when p is null then 'missing' when p < case when line = 7 then 200 else 500 end then 'below' when p > case when line = 7 then 100000 else 500000 end then 'above' end as price,
+ case when y < 1980 then 'below' when y > 1998 then 'above' end as year, case when k > 500000 then 'above' end as km from x)
+select url, price, year, km, url is null and price is null and year is null as valid, count(*) as n from e group by all""",
+)

@@ -133,3 +133,37 @@ def test_guard_words(spark, title, kind, label):
     c = lambda v: F.lit(v)
     r = one(spark, g=rules.guard(c(title), c(None).cast("string"), c(8_000.0), c(2015), c(90_000.0), c("BMW"), c("X"), c("Porto"), c(9_000.0), 2023))["g"]
     assert (label in r[kind]) if label else r[kind] == []
+
+
+def test_folding_is_whole_decomposition(spark):
+    import unicodedata
+
+    from marlstone.operators import fields
+
+    words = ["Škoda", "Citroën", "ﬁat ½ ™", "straße", "Åland ýž", "İzmir", "5 €/mês", "", None, "ａｂｃ", "㎏ №", "中文", "a" * 10 + "ü"]
+    got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").coalesce(1).select(fields.fold_accents(F.col("w"))).collect()]
+    assert got == [None if w is None else unicodedata.normalize("NFKD", w).encode("ascii", "ignore").decode().lower() for w in words]
+
+
+def test_times_keep_their_zone(spark):
+    from marlstone.operators import fields
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Lisbon")
+        df = spark.createDataFrame([("2024-07-01T12:00:00Z",), ("2024-07-01T12:00:00",), ("1719835200",), ("x",)], "t string").coalesce(1)
+        got = [r[0] for r in df.select(F.unix_timestamp(fields.timestamp_of(F.col("t")))).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [1719835200, 1719835200 - 3600, 1719835200, None]
+
+
+def test_validators_and_element_scores(spark):
+    from marlstone.operators import validators
+
+    c = F.lit
+    r = one(spark, ok=validators.checked(c("https://a.pt/1"), c("9000"), c("car"), c(2015), c(None).cast("int"), 2023), bad=validators.checked(c("a.pt/1"), c("x"), c("moto"), c(1970), c(600_000), 2023),
+            q=validators.data_quality([c("u"), c(0), c("t"), c(None).cast("string")], [c(2015), c("")], [c("u"), c(0), c(None).cast("string"), c("")]),
+            ad=validators.element_score(c(" BMW 2018 45.000 km 12.500 € "), c("/anuncio-1"), c("h2"), c(True), c(1)), no=validators.element_score(c(None).cast("string"), c(None).cast("string"), c("p"), c(False), c(9)))
+    assert r["ok"].asDict() == dict(url=None, price=None, year=None, km=None, valid=True) and r["bad"].asDict() == dict(url="format", price="not_numeric", year="below", km="above", valid=False)
+    assert r["q"] == 5 and r["ad"]["confidence"] == 1.0 and r["ad"]["is_listing"] and (r["no"]["confidence"], r["no"]["is_listing"]) == (0.0, False)
