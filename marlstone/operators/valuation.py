@@ -64,17 +64,25 @@ def tier(n: Column) -> Column:
 LAMBDA = {"thin": 0.07, "sparse": 0.20, "solid": 0.35, "dense": 1.0}
 
 
-def shrink(price: Column, value: Column, n: Column) -> Column:
-    """Log-space shrinkage price * exp(lambda * ln(value / price))."""
-    lam = F.coalesce(*[F.when(tier(n) == k, v) for k, v in LAMBDA.items()])
+def shrink(price: Column, value: Column, n: Column, fitted: Column | None = None) -> Column:
+    """Log-space shrinkage price * exp(lambda * ln(value / price)); lambda is the fitted one where there is one, else the tier's."""
+    usual = F.coalesce(*[F.when(tier(n) == k, v) for k, v in LAMBDA.items()])
+    lam = usual if fitted is None else F.coalesce(fitted, usual)
     return F.when((price > 0) & (value > 0), price * F.exp(lam * F.ln(value / price)))
 
 
-def credible_profit(price: Column, value: Column, n: Column, cap: float = 0.20, gap: float = 0.50) -> Column:
-    """Profit after shrinkage; 0 if the raw gap is implausible, at most ``cap`` of the price, null without price or value."""
+def credible_profit(price: Column, value: Column, n: Column, cap: float = 0.20, gap: float = 0.50, fitted: Column | None = None, retail: Column | None = None) -> Column:
+    """Profit after shrinkage; 0 if the raw gap is implausible, at most ``cap`` of the price, null without price or value and for a price that is not ``retail``."""
     raw = (value - price) / price
-    p = F.least(shrink(price, value, n) - price, price * cap)
-    return F.when((price > 0) & (value > 0), F.when(F.abs(raw) > gap, 0.0).otherwise(p))
+    p = F.least(shrink(price, value, n, fitted) - price, price * cap)
+    known = (price > 0) & (value > 0)
+    return F.when(known if retail is None else known & retail, F.when(F.abs(raw) > gap, 0.0).otherwise(p))
+
+
+def with_fitted_lambda(df: DataFrame, n: Column, price: str, value: str, least: int = 30) -> DataFrame:
+    """``df`` with ``tier`` and ``lam``, fitted on its own rows; null for a tier of fewer than ``least`` rows. There are four tiers."""
+    x = df.withColumn("tier", tier(n))
+    return x.join(F.broadcast(lambda_fit(x, "tier", price, value, least).select("tier", "lam")), "tier", "left")
 
 
 def opportunity(price: Column, low: Column, high: Column, value: Column, conf: Column, n: Column) -> Column:

@@ -75,3 +75,15 @@ on_listings("op_n29_watchlist_union", lambda df: joins.top_per_group(bundles.cri
             f", u as (select 'cheap' as criterion, * from listings where price < 3000 union all select 'fresh', * from listings where last_seen >= date '1998-11-01' union all select 'small', * from listings where engine_size <= 1 and mileage < 50000), r as (select *, row_number() over (partition by criterion order by price, order_id, line, seller, version, location, mileage) as k from u) select criterion, {ID} from r where k <= 30")
 on_listings("op_x04_texts_to_arrays", lambda df: df.withColumn("x", F.concat_ws(" ", F.lit("ano"), V("year").cast("string"), F.floor("price").cast("bigint").cast("string"), F.lit("€ e"), F.floor("mileage").cast("bigint").cast("string"), F.lit("km"))).select(*ROW_ID, bundles.numbers_by_kind(V("x")).alias("n")).select(*ROW_ID, *[F.array_join(f"n.{c}", ",").alias(c) for c in ("years", "prices", "km")]),
             f" select {ID}, concat_ws(',', year, case when floor(price) between 1900 and 2099 then floor(price)::bigint end) as years, floor(price)::bigint::varchar as prices, floor(mileage)::bigint::varchar as km from listings")
+
+_FITTED = lambda df: valuation.with_fitted_lambda(_med(df).where("status <> 'P'"), V("comps"), "price", "med")
+_PROFIT = lambda df: df.withColumn("p", valuation.credible_profit(V("price"), V("med"), V("comps"), fitted=V("lam"), retail=V("line") != 6))
+on_listings(
+    "op_n21_fitted_reliability",
+    lambda df: _PROFIT(_FITTED(df)).groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.count("p").alias("priced"), F.count_if(V("p") > 0).alias("publishable"), F.avg("p").alias("mean_profit"), F.max("lam").alias("lam")),
+    MED + """, t as (select *, case when comps >= 20 then 'dense' when comps >= 8 then 'solid' when comps >= 3 then 'sparse' else 'thin' end as tier, case when comps >= 20 then 1e0 when comps >= 8 then 0.35e0 when comps >= 3 then 0.2e0 else 0.07e0 end as usual from m where status <> 'P'),
+g as (select tier, stddev_pop(ln(med / price)) as sd from t group by tier having count(*) >= 30), l as (select tier, least(1e0, pow(min(sd) over () / sd, 2)) as lam from g),
+p as (select t.*, lam, case when line <> 6 then case when abs((med - price) / price) > 0.5 then 0e0 else least(price * exp(coalesce(lam, usual) * ln(med / price)) - price, price * 0.2e0) end end as p from t left join l using (tier))
+select tier, count(*) as n, count(p) as priced, count(*) filter (p > 0) as publishable, avg(p) as mean_profit, max(lam) as lam from p group by tier""",
+    "mean_profit lam",
+)

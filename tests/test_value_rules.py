@@ -167,3 +167,12 @@ def test_validators_and_element_scores(spark):
             ad=validators.element_score(c(" BMW 2018 45.000 km 12.500 € "), c("/anuncio-1"), c("h2"), c(True), c(1)), no=validators.element_score(c(None).cast("string"), c(None).cast("string"), c("p"), c(False), c(9)))
     assert r["ok"].asDict() == dict(url=None, price=None, year=None, km=None, valid=True) and r["bad"].asDict() == dict(url="format", price="not_numeric", year="below", km="above", valid=False)
     assert r["q"] == 5 and r["ad"]["confidence"] == 1.0 and r["ad"]["is_listing"] and (r["no"]["confidence"], r["no"]["is_listing"]) == (0.0, False)
+
+
+def test_retail_gate_and_fitted_shrinkage(spark):
+    p = lambda **k: valuation.credible_profit(F.lit(100.0), F.lit(121.0), F.lit(1), **k)
+    r = one(spark, half=p(fitted=F.lit(0.5)), usual=p(fitted=F.lit(None).cast("double")), sold=p(retail=F.lit(False)), kept=p(fitted=F.lit(0.5), retail=F.lit(True)))
+    assert r["half"] == pytest.approx(10) and r["usual"] == pytest.approx(100 * 1.21**0.07 - 100) and r["sold"] is None and r["kept"] == pytest.approx(10)
+    rows = [(1, 100.0, 100.0 * math.exp(x)) for x in (0.1, -0.1)] + [(9, 100.0, 100.0 * math.exp(x)) for x in (0.2, -0.2)] + [(30, 100.0, 100.0)]
+    got = {r["tier"]: r["lam"] for r in valuation.with_fitted_lambda(spark.createDataFrame(rows, "n int, p double, v double"), F.col("n"), "p", "v", 2).collect()}
+    assert got["thin"] == pytest.approx(1) and got["solid"] == pytest.approx(0.25) and got["dense"] is None  # spreads .1 and .2; one row is too few
