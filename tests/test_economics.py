@@ -59,3 +59,12 @@ def test_profile_and_calibration(spark):
     row = economics.calibration_ratio(ratios, "p", "q").first()
     assert row.n == 18 and abs(row.median_ratio - 1.15) < 1e-9
     assert economics.calibration_ratio(ratios.limit(3), "p", "q").count() == 0
+
+
+def test_calibration_ratio_has_no_gathered_median(spark):
+    """Two ratios counted five and six times: median, mean and deviation; no aggregate that holds all values."""
+    rows = spark.createDataFrame([(1.0, 1.0)] * 5 + [(2.0, 1.0)] * 6 + [(9.0, 1.0), (1.0, 0.0)], "p double, q double")
+    found = economics.calibration_ratio(rows, "p", "q")
+    n, middle, mean, std = found.first()
+    assert (n, middle) == (11, 2.0) and abs(mean - 17 / 11) < 1e-12 and abs(std - (30 / 121) ** 0.5) < 1e-12
+    assert not any(f"{k}(" in found._jdf.queryExecution().toString() for k in ("median", "percentile"))
