@@ -176,3 +176,17 @@ def test_retail_gate_and_fitted_shrinkage(spark):
     rows = [(1, 100.0, 100.0 * math.exp(x)) for x in (0.1, -0.1)] + [(9, 100.0, 100.0 * math.exp(x)) for x in (0.2, -0.2)] + [(30, 100.0, 100.0)]
     got = {r["tier"]: r["lam"] for r in valuation.with_fitted_lambda(spark.createDataFrame(rows, "n int, p double, v double"), F.col("n"), "p", "v", 2).collect()}
     assert got["thin"] == pytest.approx(1) and got["solid"] == pytest.approx(0.25) and got["dense"] is None  # spreads .1 and .2; one row is too few
+
+
+def test_names_are_folded_once_for_each_kind(spark, catalogue):
+    """The rows' own pass has no pattern in it: names are folded on their distinct combinations."""
+    df = spark.createDataFrame([("Dacia", "Sandero", 2018, 1.0, "diesel", "carros", 1000)] * 3, "brand string, model string, year int, km double, fuel string, vtype string, cc int")
+    found = reference.with_reference(df, catalogue, CURVES, 2023)
+    assert found.count() == 3 and "regexp" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_market_of_groups_without_windows_over_rows(spark):
+    rows = [("a", "x", 1, 10.0), ("a", "x", 1, 20.0), ("a", "x", None, 60.0), ("a", None, 1, 7.0), ("b", "x", 1, None)]
+    found = valuation.with_market(spark.createDataFrame(rows, "make string, model string, year int, price double"), ["make", "model"], ["year"], "price", "med", "comps")
+    assert sorted((r["make"], r["model"] or "", r["med"], r["comps"]) for r in found.collect() if r["make"] == "a") == [("a", "", 7.0, 1), ("a", "x", 30.0, 1), ("a", "x", 30.0, 2), ("a", "x", 30.0, 2)]
+    assert found.where("make = 'b'").first()["med"] is None and "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
