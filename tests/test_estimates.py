@@ -29,6 +29,26 @@ def test_outliers_go_and_other_fuels_are_converted(spark):
     assert tuple(factor) == (0.8, 1.0)
 
 
+def test_pairs_are_counted_by_kinds_as_pair_by_pair(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), i // 2 if i < 40 else i, rng.choice([2015, 2016, 2019, None]), rng.choice([None, 0.0, 50000.0, 250000.0]), rng.choice([9000.0, 12000.0, None, -1.0]), rng.choice([None, "diesel", "eletrico"]), rng.choice([None, "m", "a"]), rng.choice([None, 0, 1, 3])) for i in range(300)]
+    df = spark.createDataFrame([*rows, (None, 900, 2015, 1.0, 9000.0, "diesel", "m", 0), ("a", None, 2015, 1.0, 9000.0, "diesel", "m", 0)], VEHICLE)
+    pairs = comparables.comparable_pairs(df, ["make"]).groupBy("level").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("t.id").alias("targets"), F.avg("sim").alias("mean_similarity"))
+    want = {r.level: r for r in pairs.collect()}
+    got = {r.level: r for r in comparables.comparable_levels(df, ["make"]).collect()}
+    assert set(got) == set(want) == {1, 2, 3, 4, 5}
+    for k, w in want.items():
+        assert (got[k].pairs, got[k].targets) == (w.pairs, w.targets) and abs(got[k].mean_similarity - w.mean_similarity) < 1e-9
+    assert comparables.comparable_levels(df.limit(0), ["make"]).collect() == comparables.comparable_estimates(df.limit(0), ["make"]).collect() == []
+
+
+def test_copies_count_and_equal_mileages_give_no_elasticity(spark):
+    rows = [("a", i, 2019, 80000.0, 10000.0 + i % 3, "diesel", "manual", 0) for i in range(3000)] + [("a", 5000, 2019, 20000.0, 10000.0, "diesel", "manual", 0)]
+    got = {r.id: r for r in comparables.comparable_estimates(spark.createDataFrame(rows, VEHICLE), ["make"]).collect()}
+    assert len(got) == 3001 and (got[5000].n, got[5000].value) == (3000, 10001.0)
+    assert got[0].n == 3000
+
+
 def test_registration_tax(spark):
     row = spark.range(1).select(
         fiscal.registration_tax(F.lit(999), F.lit(105.0), F.lit("gasolina"), F.lit(0), F.lit(True)).alias("petrol"),
