@@ -1,6 +1,8 @@
 """Queries over large tables: texts are read once for each row, groups meet rows once, copies are not paired."""
 
-from marlstone.operators import pricing
+from pyspark.sql import functions as F
+
+from marlstone.operators import drivers, pricing
 
 
 def _plan(df) -> str:
@@ -12,3 +14,11 @@ def test_listings_meet_their_groups_once(spark):
     df = spark.createDataFrame(rows, "id long, brand string, model string, year int, km double, price double, vtype string, title string, retail boolean")
     got = pricing.engine_price(df, df.select("brand", "model", "year", "price").limit(0), 2005)
     assert _plan(got).count("Join ") == 1 and got.count() == 29
+
+
+def test_signs_are_found_behind_their_hints(spark):
+    texts = ["SALVADO", "ſalvado", "sem matrícula", "não pega", "REVISÕES em dia", "kit distribuição novo", "Único Dono", "alemão", "Aceito troca", "S-Tronic", "All wheel", "descapotável", "FR", "nada"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    each = df.select("t", drivers.signs(F.col("t")).alias("s"), *[F.col("t").rlike(f"(?iu){p}").alias(k) for k, p in drivers.SIGNS.items()]).collect()
+    assert all(r.s[k] == r[k] for r in each for k in drivers.SIGNS)
+    assert [any(r.s) for r in each] == [any(r[k] for k in drivers.SIGNS) for r in each] and sum(any(r.s) for r in each) >= 11
