@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from marlstone.operators import drivers, pricing
+from marlstone.operators import drivers, market, pricing
 
 
 def _plan(df) -> str:
@@ -22,3 +22,10 @@ def test_signs_are_found_behind_their_hints(spark):
     each = df.select("t", drivers.signs(F.col("t")).alias("s"), *[F.col("t").rlike(f"(?iu){p}").alias(k) for k, p in drivers.SIGNS.items()]).collect()
     assert all(r.s[k] == r[k] for r in each for k in drivers.SIGNS)
     assert [any(r.s) for r in each] == [any(r[k] for k in drivers.SIGNS) for r in each] and sum(any(r.s) for r in each) >= 11
+
+
+def test_group_means_need_no_window(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, 7.0), ("b", None)], "k string, v double")
+    got = market.with_group_mean(df, ["k"], "v", "m")
+    assert "Window" not in _plan(got)
+    assert sorted((r.k or "", r.v or 0, r.m or 0) for r in got.collect()) == [("", 5.0, 6.0), ("", 7.0, 6.0), ("a", 1.0, 2.0), ("a", 3.0, 2.0), ("b", 0, 0)]
