@@ -1,8 +1,10 @@
 """Queries over large tables: texts are read once for each row, groups meet rows once, copies are not paired."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from marlstone.operators import drivers, market, pricing
+from marlstone.operators import drivers, market, matching, pricing
 
 
 def _plan(df) -> str:
@@ -29,3 +31,21 @@ def test_group_means_need_no_window(spark):
     got = market.with_group_mean(df, ["k"], "v", "m")
     assert "Window" not in _plan(got)
     assert sorted((r.k or "", r.v or 0, r.m or 0) for r in got.collect()) == [("", 5.0, 6.0), ("", 7.0, 6.0), ("a", 1.0, 2.0), ("a", 3.0, 2.0), ("b", 0, 0)]
+
+
+def test_links_are_counted_as_pairs_without_pairing_copies(spark):
+    rng = random.Random(4)
+    names = ["red car door", "red car doors", "blue boat", None, "red cat door"]
+    rows = [(i, rng.choice(["x", "y", None]), rng.choice(names), rng.choice(["aa", "ab", None])) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, block string, p string, q string")
+    want = {}
+    for r in matching.fuzzy_pairs(df, "id", ["block"], ["p", "q"]).collect():
+        for i in (r.a, r.b):
+            want[i] = want.get(i, 0) + 1
+    got = matching.fuzzy_links(df, "id", ["block"], ["p", "q"]).collect()
+    assert len(got) == 60 and {r.id: r.links for r in got if r.links} == want
+    first = {}
+    for i, *key in rows:
+        key = (key[0], key[1] or "", key[2] or "")
+        first.setdefault(key if key[0] else i, i)
+        assert [r.class_id for r in got if r.id == i] == [first[key if key[0] else i]]
