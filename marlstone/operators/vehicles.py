@@ -46,12 +46,16 @@ _NOTHING = ("", "nan", "none", "null", "unknown", "n/a", "-")
 def normal_text(c: Column) -> Column:
     """Folded, white space collapsed; words that say nothing and null become the empty string."""
     t = F.regexp_replace(fields.fold_accents(F.trim(F.coalesce(c, F.lit("")))), r"\s+", " ")
-    return F.when(t.isin(*_NOTHING), "").otherwise(t)
+    return fields.computed_once(t, lambda t: F.when(t.isin(*_NOTHING), "").otherwise(t))
 
 
 def performance_class(*texts: Column) -> Column:
     """Struct class, rank and confidence: .9 by a pattern, .55 by the brand alone, .6 for base, .35 without any text."""
-    blob = F.array_join(F.filter(F.array(*map(normal_text, texts)), lambda t: t != ""), " ")
+    blob = F.array_join(F.filter(F.transform(F.array(*texts), normal_text), lambda t: t != ""), " ")
+    return fields.computed_once(blob, _performance)
+
+
+def _performance(blob: Column) -> Column:
     found = F.coalesce(*[F.when(blob.rlike("|".join(patterns)), name) for name, patterns in PERFORMANCE])
     fast = fields._any(blob, FAST_BRANDS)
     name = F.coalesce(found, F.when(fast, "performance"), F.lit("base"))
@@ -61,8 +65,9 @@ def performance_class(*texts: Column) -> Column:
 
 def fuel_class(*texts: Column) -> Column:
     """Fuel of the first text that names one, else of the first that carries a badge, else unknown."""
-    of = lambda t, table: F.coalesce(*[F.when(normal_text(t).rlike(p), name) for name, p in table])
-    return F.coalesce(*[of(t, FUELS) for t in texts], *[of(t, BADGES) for t in texts], F.lit("unknown"))
+    of = lambda t, table: F.coalesce(*[F.when(t.rlike(p), name) for name, p in table])
+    first = lambda ts, table: F.get(F.array_compact(F.transform(ts, lambda t: of(t, table))), F.lit(0))
+    return fields.computed_once(F.transform(F.array(*texts), normal_text), lambda ts: F.coalesce(first(ts, FUELS), first(ts, BADGES), F.lit("unknown")))
 
 
 def fuels_compare(a: Column, b: Column) -> Column:

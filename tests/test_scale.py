@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from marlstone.operators import drivers, market, matching, pricing
+from marlstone.operators import drivers, market, matching, pricing, rules, vehicles
 
 
 def _plan(df) -> str:
@@ -49,3 +49,16 @@ def test_links_are_counted_as_pairs_without_pairing_copies(spark):
         key = (key[0], key[1] or "", key[2] or "")
         first.setdefault(key if key[0] else i, i)
         assert [r.class_id for r in got if r.id == i] == [first[key if key[0] else i]]
+
+
+def test_texts_are_folded_once(spark):
+    df = spark.createDataFrame([("Clio híbrido", "desde 12.500 € AMG line")], "a string, b string")
+    n = F.lit(None).cast("double")
+    for c, most in (
+        (vehicles.performance_class(F.col("a"), F.col("b")), 1), (vehicles.fuel_class(F.col("a"), F.col("b")), 1), (rules.price_evidence(F.col("b")), 1),
+        (rules.guard(F.col("a"), F.col("b"), n, n, n, F.col("a"), F.col("a"), F.col("a"), n, 2020), 2),
+    ):
+        assert 0 < _plan(df.select(c.alias("x"))).count("translate(lower(") <= most
+    assert df.select(vehicles.fuel_class(F.col("a"), F.col("b"))).first()[0] == "hibrido"
+    assert df.select(vehicles.performance_class(F.col("a"), F.col("b")).alias("p")).first().p.performance == "sport_trim"
+    assert df.select(rules.price_evidence(F.col("b")).alias("p")).first().p.kind == "monthly"
