@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from marlstone.operators import drivers, market, matching, pricing, rules, vehicles
+from marlstone.operators import decisions, drivers, estimates, market, matching, pricing, rules, scores, vehicles
+from marlstone.sources import tables
 
 
 def _plan(df) -> str:
@@ -62,3 +63,13 @@ def test_texts_are_folded_once(spark):
     assert df.select(vehicles.fuel_class(F.col("a"), F.col("b"))).first()[0] == "hibrido"
     assert df.select(vehicles.performance_class(F.col("a"), F.col("b")).alias("p")).first().p.performance == "sport_trim"
     assert df.select(rules.price_evidence(F.col("b")).alias("p")).first().p.kind == "monthly"
+
+
+def test_market_ranges_read_the_listings_once(spark):
+    schema = "brand string, year int, price double, active boolean, value double, risk double, condition double"
+    rows = [("BMW", 2020, 9.0, True, 9.0, 1.0, 5.0), ("BMW", 2021, 7.0, None, 9.0, 1.0, 5.0), ("BMW", 2022, 0.0, True, 9.0, 1.0, 5.0), (None, None, 5.0, True, 9.0, 1.0, 5.0), ("Audi", 2020, 3.0, False, 9.0, 1.0, 5.0)]
+    df = spark.createDataFrame(rows, schema)
+    ranges = scores.market_ranges(df)
+    assert "RDD" not in _plan(ranges) and _plan(scores.five_scores(df)).count("LogicalRDD") == 1
+    got = {(r["brand"], r["year"]): (r["supply"], r["lowest"], r["highest"]) for r in ranges.collect()}
+    assert got == {("BMW", 2020): (2, 9.0, 9.0), ("BMW", 2021): (2, 9.0, 9.0), ("BMW", 2022): (2, 9.0, 9.0), ("", 2020): (2, 9.0, 9.0), ("Audi", 2020): (0, None, None)}
