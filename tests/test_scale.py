@@ -65,6 +65,13 @@ def test_texts_are_folded_once(spark):
     assert df.select(rules.price_evidence(F.col("b")).alias("p")).first().p.kind == "monthly"
 
 
+def test_a_sale_is_rounded_once_for_each_row(spark):
+    names = ("asking", "estimate", "low", "high", "conf", "comps", "cost")
+    df = spark.range(3).select(*[(F.col("id") * 1000.0 + 100).alias(c) for c in names])
+    got = df.select(decisions.realism(*map(F.col, names), F.lit(60), F.lit(False)).alias("r")).select("r.*")
+    assert _plan(got).count("round(") == 2 and got.count() == 3  # of the estimate and of its low end
+
+
 def test_market_ranges_read_the_listings_once(spark):
     schema = "brand string, year int, price double, active boolean, value double, risk double, condition double"
     rows = [("BMW", 2020, 9.0, True, 9.0, 1.0, 5.0), ("BMW", 2021, 7.0, None, 9.0, 1.0, 5.0), ("BMW", 2022, 0.0, True, 9.0, 1.0, 5.0), (None, None, 5.0, True, 9.0, 1.0, 5.0), ("Audi", 2020, 3.0, False, 9.0, 1.0, 5.0)]
