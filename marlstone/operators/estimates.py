@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators import fields
+
 #: Yearly loss and its cap, expected mileage a year, bounds of the mileage adjustment.
 YEARLY_LOSS, MOST_LOSS, KM_YEAR, KM_LOW, KM_HIGH = 0.08, 0.8, 15_000, 0.7, 1.15
 #: Band in which another opinion counts, weights of model and reference, and their limits.
@@ -67,16 +69,24 @@ def blended(value: Column, low: Column, high: Column, confidence: Column, model:
     with_model = near(model) & (confidence < MODEL_BELOW)
     with_ref = near(reference) & F.coalesce(reference_confidence >= REFERENCE_FROM, F.lit(False))
     part = lambda on, c, w: F.when(on, c * w).otherwise(0.0)
-    one = F.lit(1.0)
-    center = (value * base + part(with_model, model, MODEL_WEIGHT) + part(with_ref, reference, REFERENCE_WEIGHT)) / (base + part(with_model, one, MODEL_WEIGHT) + part(with_ref, one, REFERENCE_WEIGHT))
-    crossed = low > high
-    lo, hi = F.when(~F.coalesce(crossed, F.lit(False)), low), F.when(~F.coalesce(crossed, F.lit(False)), high)
-    lo, hi = F.least(lo, F.when(with_model, model * 0.9)), F.greatest(hi, F.when(with_model, model * 1.1))
     agree = lambda on, c, by: F.when(on & (F.abs(c - value) / value <= by), 0.05).otherwise(0.0)
-    conf = F.least(F.lit(0.95), F.greatest(base + agree(with_model, model, 0.15) + agree(with_ref, reference, 0.20), confidence))
-    band = least_band(lo, hi, center, conf)
-    out = F.struct(center.alias("value"), band[0].alias("low"), band[1].alias("high"), conf.alias("confidence"), (with_model.cast("int") + with_ref.cast("int")).alias("opinions"))
-    return F.when(value > 0, out)
+    one = F.lit(1.0)
+
+    def joined(x: Column) -> Column:
+        base, with_model, with_ref = x["base"], x["model"], x["reference"]
+        center = (value * base + part(with_model, model, MODEL_WEIGHT) + part(with_ref, reference, REFERENCE_WEIGHT)) / (base + part(with_model, one, MODEL_WEIGHT) + part(with_ref, one, REFERENCE_WEIGHT))
+        uncrossed = ~F.coalesce(low > high, F.lit(False))
+        lo, hi = F.least(F.when(uncrossed, low), F.when(with_model, model * 0.9)), F.greatest(F.when(uncrossed, high), F.when(with_model, model * 1.1))
+        conf = F.least(F.lit(0.95), F.greatest(base + agree(with_model, model, 0.15) + agree(with_ref, reference, 0.20), confidence))
+        return F.struct(center.alias("value"), lo.alias("low"), hi.alias("high"), conf.alias("confidence"), (with_model.cast("int") + with_ref.cast("int")).alias("opinions"))
+
+    def banded(x: Column) -> Column:
+        band = least_band(x["low"], x["high"], x["value"], x["confidence"])
+        return F.struct(x["value"].alias("value"), band[0].alias("low"), band[1].alias("high"), x["confidence"].alias("confidence"), x["opinions"].alias("opinions"))
+
+    # each step is computed once for a row
+    sides = F.struct(base.alias("base"), with_model.alias("model"), with_ref.alias("reference"))
+    return F.when(value > 0, fields.computed_once(fields.computed_once(sides, joined), banded))
 
 
 def combined_price(statistical: Column, comparable: Column, risk: Column, condition: Column) -> Column:

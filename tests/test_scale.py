@@ -72,6 +72,14 @@ def test_a_sale_is_rounded_once_for_each_row(spark):
     assert _plan(got).count("round(") == 2 and got.count() == 3  # of the estimate and of its low end
 
 
+def test_opinions_are_weighed_once_for_each_row(spark):
+    names = ("value", "low", "high", "conf", "model", "ref", "ref_conf")
+    df = spark.range(3).select(*[(F.col("id") * 1.0).alias(c) for c in names])
+    got = df.select(estimates.blended(*map(F.col, names)).alias("b")).select("b.*")
+    assert _plan(got).count("greatest(0.4,") == 1
+    assert [r["value"] for r in got.collect()] == [None, 1.0, 2.0]  # no value, no blend, and nothing is divided by it
+
+
 def test_market_ranges_read_the_listings_once(spark):
     schema = "brand string, year int, price double, active boolean, value double, risk double, condition double"
     rows = [("BMW", 2020, 9.0, True, 9.0, 1.0, 5.0), ("BMW", 2021, 7.0, None, 9.0, 1.0, 5.0), ("BMW", 2022, 0.0, True, 9.0, 1.0, 5.0), (None, None, 5.0, True, 9.0, 1.0, 5.0), ("Audi", 2020, 3.0, False, 9.0, 1.0, 5.0)]
