@@ -88,3 +88,14 @@ def test_market_ranges_read_the_listings_once(spark):
     assert "RDD" not in _plan(ranges) and _plan(scores.five_scores(df)).count("LogicalRDD") == 1
     got = {(r["brand"], r["year"]): (r["supply"], r["lowest"], r["highest"]) for r in ranges.collect()}
     assert got == {("BMW", 2020): (2, 9.0, 9.0), ("BMW", 2021): (2, 9.0, 9.0), ("BMW", 2022): (2, 9.0, 9.0), ("", 2020): (2, 9.0, 9.0), ("Audi", 2020): (0, None, None)}
+
+
+def test_tasks_of_large_joins_grow_with_the_listings(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    whole = tables.listings(spark, d)
+    assert "RepartitionByExpression" not in _plan(whole)
+    monkeypatch.setattr(tables, "TASK_ROWS", 200)
+    monkeypatch.setattr(tables, "LARGE", 0)
+    dealt, n = tables.listings(spark, d), tables.table(spark, d, "lineitem").count() // 200
+    assert n > 4 and all(f"RepartitionByExpression [{k}" in _plan(dealt) for k in ("l_orderkey", "l_partkey")) and _plan(dealt).count(f", {n}\n") == 2
+    assert dealt.count() == whole.count() and dealt.exceptAll(whole).isEmpty()
