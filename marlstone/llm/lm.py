@@ -4,6 +4,10 @@ Every word is predicted from the words on both its sides. Frequent words have id
 shared id's probability is divided among its cells by their counts in the corpus, so that probabilities sum to one over all
 cells. Beside the network the model remembers contexts: where the same four neighbours stand elsewhere in the corpus, the
 words seen between them there take part in the prediction. Both tables of counts are gathered from all texts.
+
+Every place is looked up among all places. Texts are dealt into chunks; a chunk asks each range of context hashes (a bucket)
+about its distinct pairs of context and word in one row, with their counts, and gets one row of counts back, in the same order.
+So a context that stands very often costs one pair for each chunk and word, and a place costs about nine bytes of shuffle.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import chunks, materialise, mix, small_batches, word_hashes
+from marlstone.llm.common import bounds, chunks, discard, materialise, mix, small_batches, word_hashes
 
 #: The most frequent words have ids of their own; all others share ids by the leading bits of their hashes.
 KNOWN, SHARED = 960, 64
@@ -28,8 +32,12 @@ HALF, DIM = 2, 16
 #: position is learned from once, whatever their number.
 ROUNDS = 1
 BATCH, RATE = 8192, 1.5
-#: A context is remembered if its hash falls in one of so many classes: a choice of the model, the same at every size.
-CONTEXTS = 8
+#: A context is remembered if its hash falls in one of so many classes; 1: every context is.
+CONTEXTS = 1
+#: Characters of a chunk (one long text stays whole), and of a bucket's share of the corpus; a task counts one bucket at a time.
+CHUNK, BUCKET = 1_000_000, 8_000_000
+#: Bits of a word's hash that tell words of one context apart.
+_TAG = 24
 _BLOCK = 8192
 VOCAB = KNOWN + SHARED
 _OFFSETS = [o for o in range(-HALF, HALF + 1) if o]
@@ -202,12 +210,21 @@ def count_words(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.select(F.col(text_col).alias("text")).mapInPandas(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _placed(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Word hashes of many texts, index of the text of each, its place in an array with edges around every text, and that array's length."""
+    words, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for c in chunks(pd.DataFrame({"text": texts}), "text", 1_000_000):
+        some, first = word_hashes(c["text"].tolist())
+        words.append(some)
+        n.append(np.diff(first))
+    words, who = np.concatenate(words), np.repeat(np.arange(len(texts)), np.concatenate(n))
+    return words, who, np.arange(len(words)) + HALF * (2 * who + 1), len(words) + 2 * HALF * len(texts)
+
+
 def _packed(net: WindowNet, texts: list) -> tuple[np.ndarray, ...]:
     """Ids of many texts as one array with the edge id between them: (array, positions of words, index of text, word hashes, log-probabilities within ids)."""
-    words, first = word_hashes(texts)
-    who = np.repeat(np.arange(len(texts)), np.diff(first))
-    arr = np.full(len(words) + 2 * HALF * len(texts), VOCAB, np.int64)
-    at = np.arange(len(words)) + HALF * (2 * who + 1)
+    words, who, at, size = _placed(texts)
+    arr = np.full(size, VOCAB, np.int64)
     arr[at], inside = net.ids(words)
     return arr, at, who, words, inside
 
@@ -238,6 +255,7 @@ def fit(df: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> WindowNe
     cells = np.zeros((1 << (CELL_BITS - 14), 1 << 14))
     for r in dense:
         cells[r["block"]] = np.frombuffer(r["counts"], np.float32)
+    discard(counts)
     cells = cells.ravel()
     net = WindowNet.start(top, cells)
     texts = df.select(F.col(text_col).alias("text"))
@@ -294,23 +312,110 @@ def _learner(shared, turn: int, stride: int):
     return run
 
 
-def _scorer(shared, contexts: int):
-    """Rows (key, n, lp) of texts, and rows (key, ctx, word, lp) of the positions whose context is remembered."""
+def _pairs(words: np.ndarray, at: np.ndarray, size: int, contexts: int) -> tuple[np.ndarray, ...]:
+    """The distinct pairs (context, word) of the remembered places by ascending context: (contexts, tags of words, counts, the places, the pair of each place)."""
+    around = np.zeros(size, np.uint64)
+    around[at] = words
+    ctx = mix(sum((around[at + o] * m for o, m in zip(_OFFSETS, _PLACES)), np.zeros(len(at), np.uint64)))
+    kept = np.flatnonzero(ctx % np.uint64(contexts) == 0)
+    ctx, tag = ctx[kept], (words[kept] & np.uint64((1 << _TAG) - 1)).astype(np.int64)
+    order, first, _ = _ordered(ctx, tag)
+    n = np.diff(np.append(first, len(order)))
+    pair = np.empty(len(order), np.int64)
+    pair[order] = np.repeat(np.arange(len(first)), n)
+    return ctx[order[first]], tag[order[first]], n, kept, pair
+
+
+def _ordered(ctx: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by context and tag, where each pair begins in it, and where each context begins among the pairs."""
+    by = np.argsort(ctx)
+    c = ctx[by]
+    code = (np.cumsum(c != np.append(c[:1], c[:-1])) << _TAG) | tag[by]
+    again = np.argsort(code)
+    first, _ = bounds(code[again])
+    return by[again], first, bounds(code[again][first] >> _TAG)[0]
+
+
+def _planes(values: np.ndarray, size: int) -> bytes:
+    """The low ``size`` bytes of each value, byte by byte, so that those alike stand together for the shuffle's compression."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T.tobytes()
+
+
+def _values(raw: bytes, size: int) -> np.ndarray:
+    got = np.frombuffer(raw, np.uint8).reshape(size, -1)
+    out = np.zeros((got.shape[1], 8), np.uint8)
+    out[:, :size] = got.T
+    return out.view("<u8").ravel()
+
+
+def _chunker(most: int):
+    """Rows (chunk, size, key, texts): texts of about ``most`` characters together."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net = shared.value
+        from pyspark import TaskContext
+
+        at, keys, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
         for b in batches:
-            for c in chunks(b, "text", 1_000_000):
-                key = c["key"].to_numpy()
-                arr, at, who, words, inside = _packed(net, c["text"].tolist())
-                lp = net.log_prob(arr, at) + inside
-                n = np.bincount(who, minlength=len(key))
-                yield pd.DataFrame({"key": key, "n": n, "lp": np.bincount(who, lp, minlength=len(key)), "ctx": None, "word": None}).astype({"ctx": "Int64", "word": "Int64"})
-                around = np.zeros(len(arr), np.uint64)
-                around[at] = words
-                ctx = mix(sum((around[at + o] * m for o, m in zip(_OFFSETS, _PLACES)), np.zeros(len(at), np.uint64)))
-                kept = np.flatnonzero(ctx % np.uint64(contexts) == 0)
-                yield pd.DataFrame({"key": key[who[kept]], "n": 0, "lp": lp[kept], "ctx": ctx[kept].view(np.int64), "word": words[kept].view(np.int64)}).astype({"ctx": "Int64", "word": "Int64"})
+            for k, t in zip(b["key"].tolist(), b["text"].tolist()):
+                more = len(t) if isinstance(t, str) else 0
+                if texts and size + more > most:
+                    yield pd.DataFrame({"chunk": [at], "size": [size], "key": [keys], "texts": [texts]})
+                    at, keys, texts, size = at + 1, [], [], 0
+                keys.append(k)
+                texts.append(t)
+                size += more
+        if texts:
+            yield pd.DataFrame({"chunk": [at], "size": [size], "key": [keys], "texts": [texts]})
+
+    return run
+
+
+def _asker(bits: int, contexts: int):
+    """Rows (bucket, chunk, ctx, tag, n) of the distinct pairs of each chunk; a bucket is the leading bits of a context."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for chunk, texts in zip(b["chunk"], b["texts"]):
+                words, _, at, size = _placed(list(texts))
+                ctx, tag, n, *_ = _pairs(words, at, size, contexts)
+                if not len(ctx):
+                    continue
+                to = (ctx >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
+                cuts = [slice(s, e) for s, e in zip(*bounds(to))]
+                yield pd.DataFrame(
+                    {"bucket": [to[i.start] for i in cuts], "chunk": chunk, "ctx": [_planes(ctx[i], 8) for i in cuts], "tag": [_planes(tag[i], 3) for i in cuts], "n": [_planes(n[i], 4) for i in cuts]}
+                )
+
+    return run
+
+
+def _counter(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each row of a bucket, how often the contexts (m) and the pairs (same) it asks for stand in all rows."""
+    ctx, tag, n = (np.concatenate([_values(x, size) for x in pdf[k]]).astype(t) for k, size, t in (("ctx", 8, np.uint64), ("tag", 3, np.int64), ("n", 4, np.int64)))
+    order, first, lead = _ordered(ctx, tag)
+    pairs = np.add.reduceat(n[order], first)
+    all_of = np.repeat(np.add.reduceat(pairs, lead), np.diff(np.append(lead, len(first))))
+    each = np.diff(np.append(first, len(order)))
+    m, same = np.empty(len(ctx), np.int64), np.empty(len(ctx), np.int64)
+    m[order], same[order] = np.repeat(all_of, each), np.repeat(pairs, each)
+    cuts = np.cumsum([len(x) // 3 for x in pdf["tag"]])[:-1]
+    return pd.DataFrame({"chunk": pdf["chunk"].to_numpy(), "bucket": pdf["bucket"].to_numpy()} | {k: [_planes(x, 5) for x in np.split(v, cuts)] for k, v in (("m", m), ("same", same))})
+
+
+def _scorer(shared, contexts: int):
+    """Rows (key, n, lp) of the texts of a chunk, given the counts of its pairs; every word is scored."""
+
+    def run(chunk: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        net, key, texts = shared.value, np.asarray(chunk["key"].iloc[0], np.int64), list(chunk["texts"].iloc[0])
+        arr, at, who, words, inside = _packed(net, texts)
+        lp = net.log_prob(arr, at) + inside
+        *_, kept, pair = _pairs(words, at, len(arr), contexts)
+        if len(kept):
+            counts = counts.sort_values("bucket")
+            m, same = (np.concatenate([_values(x, 5) for x in counts[k]])[pair].astype(float) for k in ("m", "same"))
+            with np.errstate(divide="ignore"):
+                lp[kept] = np.logaddexp(lp[kept], np.log(same - 1)) - np.log(m)
+        return pd.DataFrame({"key": key, "n": np.bincount(who, minlength=len(key)), "lp": np.bincount(who, lp, minlength=len(key))})
 
     return run
 
@@ -318,27 +423,25 @@ def _scorer(shared, contexts: int):
 def score(df: DataFrame, net: WindowNet, text_col: str = "text", contexts: int = CONTEXTS) -> DataFrame:
     """``df`` with the struct ``lm``: n_tokens, log_prob (sum over all tokens, each predicted from both sides) and mean_log_prob.
 
-    A remembered context that stands k times elsewhere in ``df`` predicts with weight k / (k + 1) by the share of those places
-    that hold the same word, the network with the rest. Null, empty and word-free texts have no tokens, log_prob 0 and a null
-    mean. Other columns pass through whatever their names (``lm`` is replaced); repeated rows score alike, and each is an
-    occurrence of its contexts; an empty table gives an empty result; long texts are whole. Texts are told apart by a
-    64-bit hash.
+    A context that stands k times elsewhere in ``df`` predicts with weight k / (k + 1) by the share of those places that hold
+    the same word, the network with the rest; with ``contexts`` above 1 only those of one class of hashes do. Null, empty and
+    word-free texts have no tokens, log_prob 0 and a null mean. Other columns pass through whatever their names (``lm`` is
+    replaced); repeated rows score alike, and each is an occurrence of its contexts; an empty table gives an empty result; long
+    texts are whole. Texts and contexts are told apart by a 64-bit hash, words of one context by 24 bits.
     """
     spark = df.sparkSession
     small_batches(spark)
     names = [c for c in df.columns if c != "lm"]
     shared = spark.sparkContext.broadcast(net)
     key = lambda c: F.xxhash64(F.coalesce(c, F.lit("")))
-    rows = materialise(df.select(key(df[text_col]).alias("key"), df[text_col].alias("text")).mapInPandas(_scorer(shared, contexts), "key long, n long, lp double, ctx long, word long"))
-    places = rows.where("ctx is not null").select("key", "ctx", "word", "lp")
-    again = places.groupBy("ctx").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    repeated = materialise(places.join(again, "ctx"))
-    pairs = repeated.groupBy("ctx", "word").agg(F.count(F.lit(1)).alias("same"))
-    k, share = F.col("m") - 1, (F.col("same") - 1) / (F.col("m") - 1)
-    mixed = F.log((F.exp("lp") + k * share) / (k + 1))
-    gains = repeated.join(pairs, ["ctx", "word"]).groupBy("key").agg(F.sum(mixed - F.col("lp")).alias("gain"))
-    texts = rows.where("ctx is null").groupBy("key").agg(F.max("n").alias("n"), F.avg("lp").alias("lp"), F.count(F.lit(1)).alias("copies"))
-    total = texts.join(gains, "key", "left").select(F.col("key").alias("_key"), F.col("n").alias("_n"), (F.col("lp") + F.coalesce("gain", F.lit(0.0)) / F.col("copies")).alias("_lp"))
+    texts = materialise(df.select(key(df[text_col]).alias("key"), df[text_col].alias("text")).mapInPandas(_chunker(CHUNK), "chunk long, size long, key array<long>, texts array<string>"))
+    bits = ((texts.agg(F.sum("size")).first()[0] or 0) // BUCKET).bit_length()
+    asked = texts.select("chunk", "texts").mapInPandas(_asker(bits, contexts), "bucket long, chunk long, ctx binary, tag binary, n binary")
+    counts = materialise(asked.groupBy("bucket").applyInPandas(_counter, "chunk long, bucket long, m binary, same binary"))
+    scored = texts.drop("size").groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInPandas(_scorer(shared, contexts), "key long, n long, lp double")
+    rows = materialise(scored)
+    discard(texts, counts)
+    total = rows.groupBy(F.col("key").alias("_key")).agg(F.max("n").alias("_n"), F.avg("lp").alias("_lp"))
     mean = F.when(F.col("_n") > 0, F.col("_lp") / F.col("_n"))
     out = df.select(F.struct(*[df[c] for c in names]).alias("_row"), key(df[text_col]).alias("_key")).join(total, "_key")
     return out.select("_row.*", F.struct(F.col("_n").alias("n_tokens"), F.col("_lp").alias("log_prob"), mean.alias("mean_log_prob")).alias("lm"))
