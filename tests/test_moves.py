@@ -1,9 +1,12 @@
 """How rows of large tables move: orders meet only the line items they change, rows of a kind are dealt once."""
 
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import comparables, families
+from marlstone import registry
+from marlstone.operators import comparables, families, levels, market
 from marlstone.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -60,7 +63,17 @@ def _rows_scan(plan: str) -> str:
     return next(x for x in plan.splitlines() if "FileScan" in x and "id#" in x)
 
 
-def test_rows_of_a_kind_are_dealt_once_for_families(spark, merged):
-    df = spark.createDataFrame(_family(60), "id long, brand string, family string, year int, km double, price double, fuel string, gearbox string, rank int, hp int, drive string, body string, trim double, fingerprint string")
-    got = families.family_estimates(df)
-    assert "Bucketed: true" in _rows_scan(_plan(got)) and got.count() == 60
+LEVELS = "id long, vtype string, brand string, model string, year int, km double, price double, fuel string, segment string, retail boolean"
+
+
+def test_errors_of_a_group_are_not_held_in_one_task(spark):
+    data = [(k, 10.0 + i % 17, 11.0 + i * i % 23) for i in range(60) for k in ("a", None)] + [("b", 10.0, None), ("c", 4.0, 5.0), ("d", -1.0, 3.0)]
+    df = spark.createDataFrame(data, "k string, a double, p double")
+    got = market.error_report(df, "a", "p", "k")
+    assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r["k"]: r for r in got.collect()}
+    assert set(rows) == {"a", None, "b", "c"} and rows["b"]["n"] == 1 and rows["b"]["median_ae"] is None and rows["c"]["median_ae"] == 1.0
+    for k in ("a", None):
+        errors = [(abs(p - a), abs(p - a) / a) for x, a, p in data if x == k]
+        assert rows[k]["n"] == 60 and rows[k]["median_ae"] == statistics.median(e for e, _ in errors)
+        assert rows[k]["median_ape_pct"] == pytest.approx(100 * statistics.median(e for _, e in errors))
