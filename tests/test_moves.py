@@ -66,6 +66,11 @@ def _rows_scan(plan: str) -> str:
 LEVELS = "id long, vtype string, brand string, model string, year int, km double, price double, fuel string, segment string, retail boolean"
 
 
+def test_the_pricing_engine_reads_the_view_once(spark, merged):
+    plan = _plan(registry.queries()["op_v18_engine_price"](spark, SF))
+    assert "lineitem" not in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_errors_of_a_group_are_not_held_in_one_task(spark):
     data = [(k, 10.0 + i % 17, 11.0 + i * i % 23) for i in range(60) for k in ("a", None)] + [("b", 10.0, None), ("c", 4.0, 5.0), ("d", -1.0, 3.0)]
     df = spark.createDataFrame(data, "k string, a double, p double")
