@@ -66,6 +66,12 @@ def _rows_scan(plan: str) -> str:
 LEVELS = "id long, vtype string, brand string, model string, year int, km double, price double, fuel string, segment string, retail boolean"
 
 
+def test_rows_of_a_kind_are_dealt_once_for_levels(spark, merged):
+    df = spark.createDataFrame([(i, "c", "A", "m", 2000, 1000.0 * (i % 5), 900.0 + i % 7, "x", "s", True) for i in range(40)], LEVELS)
+    got = levels.level_estimates(df)
+    assert "Bucketed: true" in _rows_scan(_plan(got)) and got.count() == 40
+
+
 def test_the_pricing_engine_reads_the_view_once(spark, merged):
     plan = _plan(registry.queries()["op_v18_engine_price"](spark, SF))
     assert "lineitem" not in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
