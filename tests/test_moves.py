@@ -72,6 +72,20 @@ def test_rows_of_a_kind_are_dealt_once_for_levels(spark, merged):
     assert "Bucketed: true" in _rows_scan(_plan(got)) and got.count() == 40
 
 
+def test_a_level_estimate_carries_the_listing_along(spark):
+    rows = [(i, "c", "A", "m", 2000, 1000.0, 900.0 + i, "x", "s", True) for i in range(4)] + [(9, "c", "", "m", 2000, 1.0, 5.0, "x", "s", True), (10, "z", "B", "m", 2000, 1.0, 5.0, "x", "t", True)]
+    df = spark.createDataFrame(rows, LEVELS)
+    plain = {r["id"]: r["value"] for r in levels.level_estimates(df).collect()}
+    got = levels.level_estimates(df.withColumn("id", F.struct("id", "price")), every=True).select("id.*", "value").collect()
+    assert {r["id"]: r["price"] for r in got} == {r[0]: r[6] for r in rows} and len(got) == len(rows)
+    assert {r["id"]: r["value"] for r in got} == {i: plain.get(i) for i in {r[0] for r in rows}} and set(plain) == {0, 1, 2, 3}
+
+
+def test_blended_methods_read_the_view_once(spark, merged):
+    got = registry.queries()["op_v14_blended_methods"](spark, SF)
+    assert "lineitem" not in _plan(got)  # what is left reads the dealt rows
+
+
 def test_the_pricing_engine_reads_the_view_once(spark, merged):
     plan = _plan(registry.queries()["op_v18_engine_price"](spark, SF))
     assert "lineitem" not in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
