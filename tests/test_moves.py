@@ -63,6 +63,17 @@ def _rows_scan(plan: str) -> str:
     return next(x for x in plan.splitlines() if "FileScan" in x and "id#" in x)
 
 
+def test_rows_of_a_kind_are_dealt_once_for_families(spark, merged):
+    df = spark.createDataFrame(_family(60), "id long, brand string, family string, year int, km double, price double, fuel string, gearbox string, rank int, hp int, drive string, body string, trim double, fingerprint string")
+    got = families.family_estimates(df)
+    assert "Bucketed: true" in _rows_scan(_plan(got)) and got.count() == 60
+
+def test_rows_of_a_kind_are_dealt_once_for_comparables(spark, merged):
+    df = spark.createDataFrame(_family(60), "id long, brand string, family string, year int, km double, price double, fuel string, gearbox string, rank int, hp int, drive string, body string, trim double, fingerprint string")
+    got = comparables.comparable_estimates(df, ["brand", "family"])
+    assert "Bucketed: true" in _rows_scan(_plan(got)) and got.count() == 60
+
+
 LEVELS = "id long, vtype string, brand string, model string, year int, km double, price double, fuel string, segment string, retail boolean"
 
 
